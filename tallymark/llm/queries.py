@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallymark.llm import boilerplate, confusables, encoding, residue
+from tallymark.llm import boilerplate, confusables, encoding, residue, sentences
 
-_MODULES = [encoding, residue, boilerplate, confusables]
+_MODULES = [encoding, residue, sentences, boilerplate, sentences, confusables]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
