@@ -24,7 +24,7 @@ from tallymark.llm.encoding import garbled, restore
 from tallymark.llm.rows import flat_map
 from tallymark.sources.tables import table
 
-# Phrases of site furniture, by kind, in the languages of the web pages.
+# Phrases of site furniture, by kind, in the languages of the web pages; small letters only.
 ADVERT = r"advertisements?|anzeige|werbung|publicité|publicidad|publicidade|реклама|広告|广告|विज्ञापन|โฆษณา|إعلان|sponsored( content)?|story continues below( advertisement)?|continue reading below"
 NOTICE = r"\bcookies?\b|クッキー|คุกกี้|कुकी|ملفات تعريف الارتباط|your privacy matters|store information on your device|works best with javascript|javascript for the interactive|datenschutzeinstellungen"
 OFFER = r"newsletter|\bin your inbox\b|\bsign up for\b|subscribe (now|today)|abonnez-vous|jetzt abonnieren|suscríbete a|inscreva-se"
@@ -36,10 +36,15 @@ CONSENT = r"^(accept|reject) all|^(gérer|configurar|manage|einstellungen)\b.{0,
 BYLINE = r"^(by|von|par|por|de la rédaction|автор|текст|بقلم|โดย|लेखक|द्वारा|文)[ :：]\S|^(โดย|记者|記者|文/|作者)|記者[、,]|記者$|^[^,，、.!?]{2,40}[,，] (\d{1,2}\.? )?([^\W\d]+\.? )?\d{4}( г\.?)?$"
 
 
+_LATIN = re.compile("[A-Za-z]")
+
 
 def fold(s: str) -> str:
     """Small letters in the form in which look-alikes are equal."""
-    return skeleton(s.lower())
+    if s.isascii():
+        return s.lower()
+    # A look-alike capital among Latin letters has another small letter than in its own script.
+    return skeleton(skeleton(s).lower() if _LATIN.search(s) else s.lower())
 
 
 #: Words of menus, as sites in these languages have them.
@@ -55,9 +60,9 @@ início notícias economia portos opinião tempo sobre nós contato assine entra
 #: Menu items of more than one word.
 MENU_PHRASES = ("about us", "contact us", "sign in", "sign up", "log in", "über uns", "à propos", "el tiempo", "quiénes somos", "sobre nós", "о нас", "लॉग इन", "اتصل بنا", "تسجيل الدخول", "من نحن")
 _MENU = {fold(w) for w in MENU.split()} | {fold(w) for w in MENU_PHRASES}
-_FURNITURE = re.compile(fold("|".join((f"^({ADVERT})$", NOTICE, OFFER, SHARE, TEASER, FOOTER, CONSENT))))
-_HEAD = re.compile(fold(TEASER_HEAD))
-_BYLINE = re.compile(fold(BYLINE.replace(r"[^\W\d]", r"[a-z\x80-\uffff]")))
+_FURNITURE = re.compile(skeleton("|".join((f"^({ADVERT})$", NOTICE, OFFER, SHARE, TEASER, FOOTER, CONSENT))))
+_HEAD = re.compile(skeleton(TEASER_HEAD))
+_BYLINE = re.compile(skeleton(BYLINE))
 _TERMINAL = re.compile(r"[.!?…。！？।؟۔:;：]['\"”’»“)\]）」』]*$")
 _LIST_ITEM = re.compile(r"^(?:[•‣▪·*–-]|\d{1,2}[.)])\s+\S")
 _LINK_BAR = re.compile(r"\s+[|·•/»]\s+")
@@ -199,6 +204,18 @@ def furniture_lines(text: str) -> list[int]:
     return [i for i in range(n) if not keep[i] and lines[i]]
 
 
+def last_line(text: str) -> tuple[str, int]:
+    """What the text's last line is: prose, headline, other furniture; and how many headlines in a row end the text."""
+    lines = [x.strip() for x in text.rstrip().split("\n")]
+    kinds = [_kind(x) for x in lines]
+    n = 0
+    for k in reversed(kinds):
+        if k not in (HEADLINE, HEAD, BLANK):
+            break
+        n += k != BLANK
+    return kinds[-1], n
+
+
 def article(text: str) -> str:
     """The page's lines without its furniture."""
     drop = set(furniture_lines(text))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.boilerplate import fold, furniture_lines
+from tallymark.llm.confusables import skeleton
 from tallymark.llm.rows import first_of_key, flat_map
 from tallymark.sources.tables import table
 
@@ -74,10 +75,10 @@ ABOUT = r"\b(?:style ?guide|developers?|designers?|programmers?|engineers? write
 
 _GRAMMAR = re.compile("|".join(f"(?:{g})" for g in GRAMMARS.values()))
 _VALUES = re.compile(VALUES)
-_FILLER = re.compile(fold(FILLER.replace("\n", "|")))
-_ERROR = re.compile(r"^\W*(?:" + fold(ERRORS.replace("\n", "|")) + ")")
+_FILLER = re.compile(skeleton(FILLER.replace("\n", "|")))
+_ERROR = re.compile(r"^\W*(?:" + skeleton(ERRORS.replace("\n", "|")) + ")")
 _TRAILER = re.compile(r"^\W*(?:" + TRAILERS + ")")
-_ABOUT = re.compile(fold(ABOUT))
+_ABOUT = re.compile(skeleton(ABOUT))
 _LATIN_FILLER = frozenset(FILLER_WORDS.split())
 _SENTENCE = re.compile(r"[^.!?。！？।؟\n]*(?:[.!?。！？।؟](?=[\w{\[<%@#$_])[^.!?。！？।؟\n]*)*[.!?。！？।؟\n]*[\"”’»“]*")
 _CODE = re.compile(r"```.*?```|~~~.*?~~~|<(pre|code)\b.*?</\1>|`[^`\n]+`", re.DOTALL | re.IGNORECASE)
