@@ -204,16 +204,9 @@ def furniture_lines(text: str) -> list[int]:
     return [i for i in range(n) if not keep[i] and lines[i]]
 
 
-def last_line(text: str) -> tuple[str, int]:
-    """What the text's last line is: prose, headline, other furniture; and how many headlines in a row end the text."""
-    lines = [x.strip() for x in text.rstrip().split("\n")]
-    kinds = [_kind(x) for x in lines]
-    n = 0
-    for k in reversed(kinds):
-        if k not in (HEADLINE, HEAD, BLANK):
-            break
-        n += k != BLANK
-    return kinds[-1], n
+def last_line(text: str) -> str:
+    """What the text's last line is."""
+    return _kind(text.rstrip().rpartition("\n")[2].strip())
 
 
 def article(text: str) -> str:
