@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallymark.llm import boilerplate, confusables, encoding, residue, sentences, truncation
+from tallymark.llm import boilerplate, confusables, encoding, leakage, mixing, residue, sentences, truncation
 
-_MODULES = [encoding, residue, sentences, truncation, boilerplate, sentences, truncation, confusables]
+_MODULES = [encoding, leakage, mixing, residue, sentences, truncation, boilerplate, sentences, truncation, confusables, leakage, mixing]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
