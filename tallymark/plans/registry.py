@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallymark.plans import snapshot_queries
+from tallymark.plans import snapshot_queries, source_queries
 
-_MODULES = [snapshot_queries]
+_MODULES = [snapshot_queries, source_queries]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "claim_tiers"
