@@ -43,7 +43,7 @@ RUSSIAN_FREQUENT = "оеаинтсрвлкмдпуязыбг"
 #: Characters that UTF-8 writes in several bytes: Latin to Arabic, Indic to Thai, punctuation and signs, kana, Han, Hangul, full width.
 SEVERAL_BYTES = ((0x80, 0x700), (0x900, 0x980), (0xE00, 0xE80), (0x1E00, 0x1F00), (0x2000, 0x2070), (0x20A0, 0x20C1), (0x2100, 0x2123), (0x2190, 0x21A0), (0x2500, 0x2580), (0x3000, 0x3100), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xFB00, 0xFB07), (0xFE00, 0xFEFF + 1), (0xFF00, 0xFFF0))
 
-STRONG, RUN, WEAK, LOST = 3, 2, 1, 0
+STRONG, RUN, WEAK, LOST, SILENT = 3, 2, 1, 0, -1
 
 
 def _lenient(b: bytes, encoding: str) -> str:
@@ -100,6 +100,8 @@ def _several_bytes(add) -> None:
                     continue
                 seen = "".join(signs[b] for b in c.encode("utf-8"))
                 if well_formed(seen):
+                    if c in LATIN_SMALL or c in LATIN_SMALL.upper():  # no evidence, but replaced inside a broken word
+                        add(seen, c, SILENT, "utf-8", reading)
                     continue
                 # A capital before a quote or a space, a quote before a letter: correct text has them as well.
                 chance = len(seen) == 2 and any(x in BESIDE_LETTERS for x in seen) or len(seen) == 2 and not all(map(_seen, seen))
@@ -193,11 +195,24 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+def _run(text: str, at: int) -> str:
+    """The letters in a row around a position."""
+    a = b = at
+    while a and text[a - 1].isalpha():
+        a -= 1
+    while b < len(text) and text[b].isalpha():
+        b += 1
+    return text[a:b] if b - a < 80 else text[at - 1 : at + 1]
+
+
 def garbled(text: str) -> list[tuple[int, int, str, int, str]]:
     """(start, end, original, strength, pair) of the garbled sequences; none if all may stand in correct text."""
     if text.isascii():
         return []
     found = [(e + 1 - n, e + 1, o, s, p) for e, (n, o, s, p) in automaton().iter(text)]
+    if any(h[3] == SILENT for h in found):
+        edges = {x for h in found if h[3] != SILENT for x in h[:2]}
+        found = [h for h in found if h[3] != SILENT or h[0] in edges or h[1] in edges or not well_formed(_run(text, h[0]))]
     if any(h[3] == STRONG for h in found):
         return found
     lost = [h for h in found if h[3] == LOST]
@@ -234,12 +249,20 @@ def _reread(text: str, written: str, reading: str) -> str:
     parts = re.split(r"([ \t\r\n]+)", text)
     words = [i for i in range(0, len(parts), 2) if not parts[i].isascii()]
     bad = {i: any(not well_formed(r) for r in _runs(parts[i])) or any(unicodedata.category(c) in ("So", "Sm", "Sc", "No") for c in parts[i]) for i in words}
-    for k, i in enumerate(words):
-        beside = [bad[j] for j in words[max(0, k - 1) : k + 2] if j != i]
-        made = parts[i].translate(table_)
-        capitals = parts[i].isupper() or not _runs(parts[i])
-        if (bad[i] or capitals and any(beside)) and all(well_formed(r) for r in _runs(made)) and not any(unicodedata.category(c) in ("Co", "Cn", "Cc", "So", "Sm") for c in made):
-            parts[i] = made
+    done: set[int] = set()
+    # Capitals are what a swap of case makes of a sentence: they follow a broken word beside them.
+    for order in (range(len(words)), range(len(words) - 1, -1, -1)):
+        near = False
+        for k in order:
+            i = words[k]
+            if i in done:
+                near = True
+                continue
+            made = parts[i].translate(table_)
+            near = bad[i] or near and (parts[i].isupper() or not _runs(parts[i]))
+            if near and all(well_formed(r) for r in _runs(made)) and not any(unicodedata.category(c) in ("Co", "Cn", "Cc", "So", "Sm") for c in made):
+                parts[i] = made
+                done.add(i)
     return "".join(parts)
 
 
@@ -258,7 +281,8 @@ def restore(text: str, rounds: int = 4) -> str:
                     at = end
             made = "".join(out) + text[at:]
         else:
-            made = _reread(text, written, reading)
+            pairs = [(w, r) for w in CYRILLIC_WRITTEN for r in CYRILLIC_READ if w != r] if written in CYRILLIC_WRITTEN else [(written, reading)]
+            made = max((_reread(text, w, r) for w, r in pairs), key=lambda x: sum(map(x.lower().count, RUSSIAN_FREQUENT[:10])))
         if made == text:
             break
         text = made
