@@ -128,3 +128,19 @@ def context_words(w: Column) -> Column:
 def distinctive(w: Column) -> Column:
     dull = _strings(STOPWORDS)
     return F.array_distinct(F.filter(w, lambda x: (F.length(x) > 3) & ~F.array_contains(dull, x)))
+
+
+HEDGES = r"(?i)\b(?:may|might|could|would|should|perhaps|possibly|likely|probably|i think|we think|in my (?:view|opinion)|arguably|seems?|appears?)\b"
+PROPER_NOUN = r"(?<![.!?]\s)(?<!^)\b[A-Z][a-zA-Z0-9]{2,}\b"
+
+
+def salience_tags(c: Column) -> Column:
+    """What makes a claim falsifiable, and what weakens it."""
+    signs = {"number": r"(?U)\d", "quotation": "[\"“”'‘’]", "proper-noun": PROPER_NOUN, "hedged": HEDGES}
+    return F.array_compact(F.array(*[F.when(_t(c).rlike(p), F.lit(t)) for t, p in signs.items()]))
+
+
+def salience(c: Column) -> Column:
+    """3 for a number, 2 for a quotation, 1 for a name, less 2 for a hedge; orders, never filters."""
+    weights = F.create_map(*[F.lit(x) for kv in (("number", 3), ("quotation", 2), ("proper-noun", 1), ("hedged", -2)) for x in kv])
+    return F.aggregate(salience_tags(c), F.lit(0), lambda a, t: a + weights[t])

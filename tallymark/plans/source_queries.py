@@ -47,6 +47,19 @@ def number_context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "claims", "claim_key", "claim").select("claim_key", w).select("claim_key", F.col("w.number").alias("number"), F.concat_ws(" ", "w.near").alias("near"))
 
 
+def claim_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("claim")
+    return table(spark, sf_dir, "claims", "claim_key", "claim").select("claim_key", T.salience(c).alias("salience"), F.concat_ws(",", T.salience_tags(c)).alias("tags"))
+
+
+def previous_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each sentence of a draft the nearest one before it with four words or more: what a trailing citation stands for."""
+    d = table(spark, sf_dir, "documents", "doc_id", "doc_kind", "text").where("doc_kind = 'draft'")
+    s = d.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n+"))).withColumn("n", F.size(F.split(F.trim("col"), r"\s+")))
+    w = F.expr("last(case when n >= 4 then pos end, true) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding)")
+    return s.select("doc_id", "pos", w.alias("previous"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest fetch of every url."""
     f = table(spark, sf_dir, "fetch_results", "fetch_id", "url", "status", "text", "final_url", "content_type", "kind", "error", "blocked", "truncated", "fetched_at", "ingested_at")
@@ -143,6 +156,8 @@ SQL = {
     "quantities_in_docs": f"""with q as (select doc_id, unnest(regexp_extract_all(regexp_replace(text, '[A-Za-z]+[_\\p{{N}}\\x{{aa}}\\x{{b5}}\\x{{ba}}\\x{{c0}}-\\x{{24f}}\\x{{370}}-\\x{{1fff}}]', '#', 'g'), '(?:[\\p{{Nd}}]+(?:[.,][\\p{{Nd}}]+)*)\\s*(?:%|[A-Za-z]+)')) as m from documents)
       select distinct doc_id, {_NORM.format("regexp_extract(m, '^[\\p{Nd}]+(?:[.,][\\p{Nd}]+)*')")} || ' ' || {_SCALE}[lower(regexp_extract(m, '(%|[A-Za-z]+)$', 1))] as quantity from q
       where {_SCALE}[lower(regexp_extract(m, '(%|[A-Za-z]+)$', 1))] is not null""",
+    "previous_sentences": """with s as (select doc_id, unnest(range(len(l)))::int as pos, unnest(l) as line from (select doc_id, regexp_split_to_array(coalesce(text, ''), '\\n+') as l from documents where doc_kind = 'draft'))
+      select doc_id, pos, last_value(case when len(regexp_split_to_array(trim(line), '\\s+')) >= 4 then pos end ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding) as previous from s""",
     "containment_scores": f"""with p as ({_PAGES}), pg as (select url, w, {_TRI} as p3, {_BI} as p2 from (select url, {_W.format('text')} as w from p)),
       c as (select claim_key, url, {_TRI} as c3, {_BI} as c2, {_DIST} as cd from (select claim_key, source_url as url, {_W.format('claim')} as w from claims))
       select claim_key, len(c3)::int as of3, len(list_intersect(c3, p3))::int as in3, len(c2)::int as of2, len(list_intersect(c2, p2))::int as in2,
@@ -160,5 +175,5 @@ SQL = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (words_per_doc, distinct_ngrams, numbers_in_docs, quantities_in_docs, identifiers_in_docs, sentence_breaks, number_context_windows, containment_scores, claim_tiers, tier_counts, blocking_reason, confusion_metrics, url_hosts, url_problems, link_status_counts, thin_pages, all_pairs_containment)
+    for f in (words_per_doc, distinct_ngrams, numbers_in_docs, quantities_in_docs, identifiers_in_docs, sentence_breaks, number_context_windows, claim_salience, previous_sentences, containment_scores, claim_tiers, tier_counts, blocking_reason, confusion_metrics, url_hosts, url_problems, link_status_counts, thin_pages, all_pairs_containment)
 }

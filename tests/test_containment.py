@@ -89,3 +89,12 @@ def test_counts_are_whole_and_blocking(spark):
     assert C.blocking_reason(C.tier_counts(df.where("tier = 'verified'"))).first().reason is None
     unchecked = C.tier_counts(spark.createDataFrame([("unverified",)], "tier string"))
     assert C.blocking_reason(unchecked, strict=True).first().reason == "unchecked"
+
+
+def test_salience_agrees_with_drafts(spark):
+    from tallymark.operators.drafts import salience
+
+    texts = ['The port of Oslo may hold "900" crates', "nothing at all", "", "He said it. Oslo grew by 4%", "It's 5"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", T.salience(F.col("t")).alias("s"), T.salience_tags(F.col("t")).alias("g")).collect()
+    assert [(r.s, r.g) for r in rows] == [salience(t) for t in texts]
