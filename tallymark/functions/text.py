@@ -96,28 +96,30 @@ def names(c: Column) -> Column:
     """Capitalised words in order, without the first of the text and ordinary openers of later sentences."""
     plain = _strings(sorted({*STOPWORDS, *SENTENCE_OPENERS}))
 
-    def of(s: Column, i: Column) -> Column:
-        tokens = find_all(s, "[A-Za-z][A-Za-z']*")
-        skip = (i == 0) | F.array_contains(plain, F.lower(F.get(tokens, F.lit(0))))
-        return F.filter(tokens, lambda t, k: ((k > 0) | ~F.coalesce(skip, F.lit(False))) & (F.length(t) >= 2) & t.rlike("^[A-Z]"))
+    def of(tokens: Column, i: Column) -> Column:
+        skip = (i == 0) | F.coalesce(F.array_contains(plain, F.lower(F.get(tokens, F.lit(0)))), F.lit(False))
+        return F.filter(tokens, lambda t, k: ((k > 0) | ~skip) & (F.length(t) >= 2) & t.rlike("^[A-Z]"))
 
-    return F.array_distinct(F.flatten(F.transform(sentences(c), of)))
+    return F.array_distinct(F.flatten(F.transform(_tokens(c, "[A-Za-z][A-Za-z']*"), of)))
+
+
+def _tokens(c: Column, pattern: str) -> Column:
+    """Each sentence's tokens. Lambdas over this array get the tokens as a value; a token pattern inside them would be matched again for every element."""
+    return F.transform(sentences(c), lambda s: find_all(s, pattern))
 
 
 def number_windows(c: Column) -> Column:
     """array<struct<number, near>>: each number with the words at most four tokens away in its sentence."""
 
-    def of(s: Column) -> Column:
-        tokens = find_all(s, rf"(?U){NUMBER}|[A-Za-z][A-Za-z']*")
-
+    def of(tokens: Column) -> Column:
         def window(t: Column, i: Column) -> Column:
             before = F.slice(tokens, F.greatest(i + 1 - NUMBER_REACH, F.lit(1)), F.least(i, F.lit(NUMBER_REACH)))
             near = F.filter(F.concat(before, F.slice(tokens, i + 2, NUMBER_REACH)), lambda w: w.rlike("^[A-Za-z]"))
-            return F.struct(normal_number(t).alias("number"), near.alias("near"))
+            return F.when(t.rlike(r"(?U)^\d"), F.struct(normal_number(t).alias("number"), near.alias("near")))
 
-        return F.filter(F.transform(tokens, window), lambda w: w["number"].rlike(r"(?U)^\d"))
+        return F.array_compact(F.transform(tokens, window))
 
-    return F.flatten(F.transform(sentences(c), of))
+    return F.flatten(F.transform(_tokens(c, rf"(?U){NUMBER}|[A-Za-z][A-Za-z']*"), of))
 
 
 def context_words(w: Column) -> Column:
