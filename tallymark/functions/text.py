@@ -26,6 +26,7 @@ SCALES = {
 }
 UNIT_WORDS = [*SCALES, "dollars", "euros", "pounds"]
 
+# Patterns of numbers, quantities and sentence ends, and the reach of a number's context in tokens.
 NUMBER = r"\d+(?:[.,]\d+)*"
 QUANTITY = rf"(?:{NUMBER})\s*(?:%|[A-Za-z]+)\b(?![\p{{No}}\p{{Nl}}])|(?:{NUMBER})\s*%"
 SENTENCE_BREAK = r"""(?<=[.!?])(?<!\bMr\.)(?<!\bMs\.)(?<!\bDr\.)(?<!\bSt\.)(?<!\bMrs\.)(?<!\bProf\.)(?<!\b[A-Z]\.)["')\]]*\s+(?=["'(\[]*[A-Z])"""
@@ -132,6 +133,7 @@ def distinctive(w: Column) -> Column:
     return F.array_distinct(F.filter(w, lambda x: (F.length(x) > 3) & ~F.array_contains(dull, x)))
 
 
+# Patterns of hedging words and of names.
 HEDGES = r"(?i)\b(?:may|might|could|would|should|perhaps|possibly|likely|probably|i think|we think|in my (?:view|opinion)|arguably|seems?|appears?)\b"
 PROPER_NOUN = r"(?<![.!?]\s)(?<!^)\b[A-Z][a-zA-Z0-9]{2,}\b"
 
