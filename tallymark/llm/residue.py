@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,14 +80,30 @@ _FILLER = re.compile(skeleton(FILLER.replace("\n", "|")))
 _ERROR = re.compile(r"^\W*(?:" + skeleton(ERRORS.replace("\n", "|")) + ")")
 _TRAILER = re.compile(r"^\W*(?:" + TRAILERS + ")")
 _ABOUT = re.compile(skeleton(ABOUT))
+_ASCII_WORD = re.compile(r"[a-z]+")
 _LATIN_FILLER = frozenset(FILLER_WORDS.split())
-_SENTENCE = re.compile(r"[^.!?。！？।؟\n]*(?:[.!?。！？।؟](?=[\w{\[<%@#$_])[^.!?。！？।؟\n]*)*[.!?。！？।؟\n]*[\"”’»“]*")
-_CODE = re.compile(r"```.*?```|~~~.*?~~~|<(pre|code)\b.*?</\1>|`[^`\n]+`", re.DOTALL | re.IGNORECASE)
+_SENTENCE = re.compile(r"[^.!?。！？।؟\n]*(?:[.!?](?=[\w{\[<%@#$_])[^.!?。！？।؟\n]*)*[.!?。！？।؟\n]*[\"”’»“]*")
+_INLINE_CODE = re.compile(r"`[^`\n]+`")
+#: Every phrase of filler holds one of these.
+_FILLER_KEYS = tuple(skeleton(x) for x in "here hier placeholder text copy content click tap todo tbd fixme written supplied later replace coming platzhalter exemple remplissage remplacer factice ejemplo relleno muestra prueba exemplo preenchimento texto текст рыба 示例 占位 此处 请在此 这里是 ダミー サンプル ここに 仮 नमूना यहाँ نص أدخل ข้อความ".split())
 _MAYBE = re.compile(r"[{}<>\[\]%@#$]|__|XXX|@|undefined|NaN|null|Invalid Date")
 #: Prose beside an error message, in characters, from which a page has content of its own.
 CONTENT_CHARS = 160
 
 
+def without_code(text: str) -> str:
+    """The text without code blocks and spans; a fence or tag that isn't closed opens none."""
+    for opening, closing in (("```", "```"), ("~~~", "~~~"), ("<pre", "</pre>"), ("<code", "</code>")):
+        if opening not in text:
+            continue
+        out, at, low = [], 0, text.lower()
+        while (a := low.find(opening, at)) >= 0 and (b := low.find(closing, a + len(opening))) >= 0:
+            out.append(text[at:a])
+            at = b + len(closing)
+        text = " ".join([*out, text[at:]])
+    return _INLINE_CODE.sub(" ", text) if "`" in text else text
+
+
 def _sentences(line: str) -> list[str]:
     return [s.strip() for s in _SENTENCE.findall(line) if s.strip()]
 
@@ -103,9 +120,10 @@ def sentence_residue(s: str) -> str | None:
         kind = "placeholder" if _GRAMMAR.search(s) else "value" if _VALUES.search(s) else None
         if kind and not _ABOUT.search(fold(_GRAMMAR.sub(" ", s))):
             return kind
-    if _is_filler_latin(re.findall(r"[a-z]+", f)):
+    # Four of five words must be filler, so two of the first three are.
+    if sum(m[0] in _LATIN_FILLER for m in islice(_ASCII_WORD.finditer(f), 3)) >= 2 and _is_filler_latin(_ASCII_WORD.findall(f)):
         return "filler"
-    if _FILLER.search(f) and not (_ABOUT.search(f) and len(f) > 110):
+    if any(k in f for k in _FILLER_KEYS) and _FILLER.search(f) and not (_ABOUT.search(f) and len(f) > 110):
         return "filler"
     return None
 
@@ -123,7 +141,7 @@ def residue(text: str, html: bool) -> str | None:
     if not lines:
         return None
     whole = "\n".join(lines)
-    plain = _CODE.sub(" ", whole) if "`" in whole or "~~~" in whole or "<" in whole else whole
+    plain = without_code(whole)
     tutorial = len(whole) - len(plain) > 0.2 * len(whole)
     if not tutorial:
         for line in plain.split("\n"):
