@@ -99,7 +99,7 @@ _SAID = re.compile(same_length(SAID))
 
 
 def _protected(s: str) -> list[tuple[int, int]]:
-    """Spans of quotations and brackets, outermost only, each within a paragraph."""
+    """Spans of quotations and brackets of a paragraph, outermost only."""
     spans: list[tuple[int, int]] = []
     i, n = 0, len(s)
     for m in re.finditer(r"[“«„「『‹(（\"＂〈《]", s):
@@ -113,8 +113,7 @@ def _protected(s: str) -> list[tuple[int, int]]:
             limit = QUOTE_CHARS
         if opener in "\"＂" and i and not s[i - 1].isspace() and s[i - 1] not in "(（[—–-…⁠" and s[i - 1].isalnum():
             continue  # an inch sign or a stray closing mark
-        gap = s.find("\n\n", i)
-        stop = min(n, i + limit, gap if gap >= 0 else n)
+        stop = min(n, i + limit)
         closers = PAIRS[opener]
         found = [k for c in closers if (k := s.find(c, i + 1, stop)) >= 0]
         if found:
