@@ -142,7 +142,6 @@ _TRI = "case when len(w) >= 3 then list_distinct([w[i] || ' ' || w[i+1] || ' ' |
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 _DIST = f"list_distinct([x for x in w if length(x) > 3 and not list_contains({_STOP}, x)])"
 _NORM = "regexp_replace(replace({0}, ',', ''), '\\.0+$', '')"
-_SCALE = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in T.SCALES.items()) + "}"
 _PAGES = """select * from fetch_results where url is not null qualify row_number() over (partition by url
   order by fetched_at desc nulls last, ingested_at desc nulls last, fetch_id desc nulls last) = 1"""
 _SCHEME = "lower(regexp_extract(coalesce({0}, ''), '^\\s*([A-Za-z][A-Za-z0-9+.\\-]*):', 1))"
@@ -153,9 +152,6 @@ SQL = {
     "words_per_doc": f"with d as (select doc_id, {_W.format('text')} as w from documents) select doc_id, len(w)::int as n_words, len(list_distinct(w))::int as n_distinct, len({_DIST})::int as n_distinctive from d",
     "distinct_ngrams": f"with d as (select doc_id, {_W.format('text')} as w from documents) select doc_id, len({_BI})::int as n_bigrams, len({_TRI})::int as n_trigrams from d",
     "numbers_in_docs": f"select distinct doc_id, {_NORM.format('n')} as number from (select doc_id, unnest(regexp_extract_all(text, '[\\p{{Nd}}]+(?:[.,][\\p{{Nd}}]+)*')) as n from documents)",
-    "quantities_in_docs": f"""with q as (select doc_id, unnest(regexp_extract_all(regexp_replace(text, '[A-Za-z]+[_\\p{{N}}\\x{{aa}}\\x{{b5}}\\x{{ba}}\\x{{c0}}-\\x{{24f}}\\x{{370}}-\\x{{1fff}}]', '#', 'g'), '(?:[\\p{{Nd}}]+(?:[.,][\\p{{Nd}}]+)*)\\s*(?:%|[A-Za-z]+)')) as m from documents)
-      select distinct doc_id, {_NORM.format("regexp_extract(m, '^[\\p{Nd}]+(?:[.,][\\p{Nd}]+)*')")} || ' ' || {_SCALE}[lower(regexp_extract(m, '(%|[A-Za-z]+)$', 1))] as quantity from q
-      where {_SCALE}[lower(regexp_extract(m, '(%|[A-Za-z]+)$', 1))] is not null""",
     "previous_sentences": """with s as (select doc_id, unnest(range(len(l)))::int as pos, unnest(l) as line from (select doc_id, regexp_split_to_array(coalesce(text, ''), '\\n+') as l from documents where doc_kind = 'draft'))
       select doc_id, pos, last_value(case when len(regexp_split_to_array(trim(line), '\\s+')) >= 4 then pos end ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding) as previous from s""",
     "containment_scores": f"""with p as ({_PAGES}), pg as (select url, w, {_TRI} as p3, {_BI} as p2 from (select url, {_W.format('text')} as w from p)),
