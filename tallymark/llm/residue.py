@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,12 +73,20 @@ TRAILERS = r"incident id|error code|reference #|request id|ray\b|host:|nginx|ngi
 #: Words by which a sentence talks about such things, or shows them.
 ABOUT = r"\b(?:style ?guide|developers?|designers?|programmers?|engineers? write|tutorial|template(?:s| language| engine| tool| in)|typeface|typesetters?|syntax|variables?|for example|an example of|as an example|e\.g\.|such as|the (?:word|string|phrase|term|token|placeholder|marker|notation|text)s? [“\"'‘«{<\[$%#@_]?\w+|printed|museum|study|archives? found|links ending|regulator asked|forms say|is read as|means|meant|stands for|replaced by|quoted|quotes?|reports?|wrote|writes|shows?|showed|display(?:s|ed)|explains?|documentation|manual|print shop|used to test|still set|zeigt|beispiel|entwickler|schreib|exemple de|ejemplo de|los desarrolladores|les développeurs|variable)\b"
 
+#: What stands right before a thing that is shown, not left over.
+SHOWN = r"(?:\b(?:writes?|wrote|types?|uses?|shows?|showed|displays?|displayed|prints?|printed|quotes?|quoted|means?|meant|explains?|such as|e\.g\.|for example,?|an example of|word|string|phrase|term|token|placeholder|marker|notation|variable|schreiben|schreibt|zeigt|écrivent|escriben)s?:?\s*)$"
+#: Words of ABOUT in a sentence from which it is about such things as a whole, by kind of residue.
+DENSITY = {"placeholder": 3, "value": 2}
+
 _GRAMMAR = re.compile("|".join(f"(?:{g})" for g in GRAMMARS.values()))
 _VALUES = re.compile(VALUES)
 _FILLER = re.compile(skeleton(FILLER.replace("\n", "|")))
 _ERROR = re.compile(r"^\W*(?:" + skeleton(ERRORS.replace("\n", "|")) + ")")
 _TRAILER = re.compile(r"^\W*(?:" + TRAILERS + ")")
 _ABOUT = re.compile(skeleton(ABOUT))
+_SHOWN = re.compile(skeleton(SHOWN))
+_OPENING, _CLOSING = "\"'“‘„‚«‹「『`", "\"'”’“‘»›」』`"
+_AND = re.compile(r"[\"'”’»]?\s*(?:[,/]|,?\s*(?:and|or|und|oder|et|ou|y|o))\s*[\"'“‘«]?")
 _ASCII_WORD = re.compile(r"[a-z]+")
 _LATIN_FILLER = frozenset(FILLER_WORDS.split())
 _SENTENCE = re.compile(r"[^.!?。！？।؟\n]*(?:[.!?](?=[\w{\[<%@#$_])[^.!?。！？।؟\n]*)*[.!?。！？।؟\n]*[\"”’»“]*")
@@ -109,7 +116,26 @@ def _sentences(line: str) -> list[str]:
 
 
 def _is_filler_latin(words: list[str]) -> bool:
-    return len(words) >= 5 and sum(w in _LATIN_FILLER for w in words) >= 0.8 * len(words)
+    return len(words) >= 5 and sum(map(_LATIN_FILLER.__contains__, words)) >= 0.8 * len(words)
+
+
+def _talked_about(s: str, kind: str, found: list[re.Match]) -> bool:
+    """Whether a sentence speaks about what was found in it: a word that says so, and each find quoted or shown, or many such words."""
+    n = len(_ABOUT.findall(fold(_GRAMMAR.sub(" ", s))))
+    if not n or n >= DENSITY[kind]:
+        return bool(n)
+    last = None
+    for m in found:
+        before, after = s[: m.start()].rstrip(), s[m.end() :].lstrip()
+        quoted = before[-1:] in _OPENING and after[:1] in _CLOSING and before and after
+        listed = last is not None and _AND.fullmatch(s, last.end(), m.start())
+        if not quoted and not listed:
+            f = fold(s[: m.start()])
+            shown = _SHOWN.search(f)
+            if not shown or not _ABOUT.search(f[: shown.start()] + " | " + fold(_GRAMMAR.sub(" ", s[m.end() :]))):
+                return False
+        last = m
+    return True
 
 
 @lru_cache(maxsize=50_000)
@@ -117,11 +143,10 @@ def sentence_residue(s: str) -> str | None:
     """Kind of residue in a sentence: placeholder, value, filler; None if there is none or it is only talked about."""
     f = fold(s)
     if _MAYBE.search(s):
-        kind = "placeholder" if _GRAMMAR.search(s) else "value" if _VALUES.search(s) else None
-        if kind and not _ABOUT.search(fold(_GRAMMAR.sub(" ", s))):
-            return kind
-    # Four of five words must be filler, so two of the first three are.
-    if sum(m[0] in _LATIN_FILLER for m in islice(_ASCII_WORD.finditer(f), 3)) >= 2 and _is_filler_latin(_ASCII_WORD.findall(f)):
+        for kind, grammar in (("placeholder", _GRAMMAR), ("value", _VALUES)):
+            if (found := list(grammar.finditer(s))) and not _talked_about(s, kind, found):
+                return kind
+    if _is_filler_latin(_ASCII_WORD.findall(f)):
         return "filler"
     if any(k in f for k in _FILLER_KEYS) and _FILLER.search(f) and not (_ABOUT.search(f) and len(f) > 110):
         return "filler"

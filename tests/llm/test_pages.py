@@ -67,3 +67,21 @@ def test_residue_rows(spark):
     df = spark.createDataFrame([(1, "TODO: replace this paragraph.", "text", "a"), (1, "TODO: replace this paragraph.", "text", "a"), (2, None, "html", "b"), (3, "", None, "c"), (4, "x " * 300_000, "text", "d")], "k bigint, text string, kind string, residue string")
     assert [tuple(r) for r in residue_rows(df, "k", "text", "kind").collect()] == [(1, "filler")]
     assert residue_rows(df.limit(0), "k", "text", "kind").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("Our new product lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore", "filler"),
+        ("Harbour votes by Ana lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna", "filler"),
+        ("Dear {{first_name}}, the reports of this month are ready.", "placeholder"),
+        ("The manual of {{product_name}} ships next week.", "placeholder"),
+        ("This page shows {{count}} visitors.", "placeholder"),
+        ("The manual costs $NaN today.", "value"),
+        ("Developers write “{{name}}” here and at {{company}} as well.", "placeholder"),
+        ("The manual leaves “{{name}}” for the reader's name.", None),
+        ("Developers write {{name}} and {{company}}", None),
+    ],
+)
+def test_residue_beside_other_words(text, kind):
+    assert residue(text, False) == kind
