@@ -4,7 +4,8 @@ A passage that keeps at least seven of eight words holds some exact piece: with
 e + 1 pieces has (L - e) / (e + 1) words, four or more for every L from eight on. Every run of four words of every
 item is such a piece, as a passage may start anywhere. One Aho-Corasick automaton finds all pieces in a
 normalised document in one pass; hits on one diagonal make a passage, which is extended and then verified by
-Myers' bit-parallel edit distance over words. An item leaks if one passage, or two neighbouring ones in order, hold
+Myers' bit-parallel edit distance over words; of a passage that fails, as it goes over a rewritten stretch, every part between two
+of its exact runs is verified by itself. An item leaks if one passage, or two neighbouring ones in order, hold
 half of its words.
 
 Items go to the executors in blocks of bounded size, each against all documents; documents are never shuffled.
@@ -119,25 +120,54 @@ class Matcher:
         n = len(item)
         if n < 2 * PIECE:
             return 1.0 if any(doc[d : d + n] == item for d, p in hits if p == 0) else 0.0
-        q = PIECE
-        found: list[list[int]] = []  # document start, document end, item start, item end
-        for d, p in sorted(set(hits)):
-            for s in reversed(found[-6:]):
-                gap_doc, gap_item = d - s[1], p - s[3]
-                if p >= s[2] and abs((d - p) - (s[1] - s[3])) <= 2 and gap_item <= 2 * ONE_ERROR_IN and gap_doc <= 2 * ONE_ERROR_IN and d + q > s[1] and p + q > s[3]:
-                    s[1], s[3] = d + q, p + q
-                    break
-            else:
-                found.append([d, d + q, p, p + q])
-        passages = [s for s in (self._extended(item, doc, s) for s in found) if self._verified(item, doc, s)]
+        passages = sorted({tuple(s) for c in self._chains(hits) for s in self._passages(item, doc, c)})
         best = max((s[3] - s[2] for s in passages), default=0)
-        passages.sort()
         for i, a in enumerate(passages):
-            for b in passages[i + 1 : i + 8]:
-                if a[1] <= b[0] + 2 and b[0] - a[1] <= NEIGHBOUR_WORDS and b[2] >= a[3] - 2:
+            if best == n:
+                break
+            for b in passages[i + 1 :]:
+                if b[0] - a[1] > NEIGHBOUR_WORDS:
+                    break
+                if a[1] <= b[0] + 2 and b[2] >= a[3] - 2:
                     best = max(best, a[3] - a[2] + b[3] - max(b[2], a[3]))
         return best / n
 
+    @staticmethod
+    def _chains(hits: list[tuple[int, int]]) -> list[list[list[int]]]:
+        """Hits on nearly one diagonal as chains of runs (document start, end, item start, end) that are alike word for word."""
+        q, reach = PIECE, 2 * ONE_ERROR_IN
+        done: list[list[list[int]]] = []
+        active: list[list[list[int]]] = []
+        for d, p in sorted(set(hits)):
+            active = [c for c in active if d - c[-1][1] <= reach]
+            for c in reversed(active):
+                s = c[-1]
+                if p >= c[0][2] and abs((d - p) - (s[1] - s[3])) <= 2 and p - s[3] <= reach and d + q > s[1] and p + q > s[3]:
+                    if d - p == s[1] - s[3] and d <= s[1]:
+                        s[1], s[3] = d + q, p + q
+                    else:
+                        c.append([d, d + q, p, p + q])
+                    break
+            else:
+                active.append([[d, d + q, p, p + q]])
+                done.append(active[-1])
+        return done
+
+    def _passages(self, item: list[str], doc: list[str], chain: list[list[int]]) -> list[list[int]]:
+        """The whole chain if it is verified, else every part of it that is."""
+        whole = self._passage(item, doc, chain[0], chain[-1])
+        if whole or len(chain) == 1:
+            return [whole] if whole else []
+        parts = ((i, j) for i in range(len(chain)) for j in range(i, len(chain)))
+        return [s for i, j in parts if (s := self._passage(item, doc, chain[i], chain[j]))]
+
+    def _passage(self, item: list[str], doc: list[str], first: list[int], last: list[int]) -> list[int] | None:
+        plain = [first[0], last[1], first[2], last[3]]
+        for s in (self._extended(item, doc, plain), plain):
+            if self._verified(item, doc, s):
+                return s
+        return None
+
     @staticmethod
     def _extended(item: list[str], doc: list[str], s: list[int]) -> list[int]:
         d0, d1, i0, i1 = s

@@ -46,6 +46,21 @@ def test_forms_of_a_leak():
         assert k not in found(" ".join(w[4:10])) and k not in found(other) and k not in found(" ".join(R.sample(w, 32)))
 
 
+def test_halves_around_a_rewritten_stretch():
+    for k, t in ITEMS:
+        w = t.split()
+        for text in (w[:12] + [f"q{i}" for i in range(6)] + w[18:], w[:5] + ["q1", "q2", "q3"] + w[8:17] + [f"q{i}" for i in range(9)] + w[26:]):
+            assert k in found(" ".join(text)), text
+        assert k not in found(" ".join([*w[:5], *(f"q{i}" for i in range(12)), *w[17:22]]))
+
+
+def test_many_chains_and_passages_at_once():
+    k, t = ITEMS[0]
+    w = t.split()
+    # The same four words again and again between the halves: more passages than were tried before.
+    assert k in found(" ".join(w[:9] + [x for i in range(12) for x in (*w[20:24], f"q{i}")] + w[22:32]))
+
+
 def test_leaks_agree_in_blocks(spark):
     docs = [(i, " ".join(prose(30)) + " " + ITEMS[i % 30][1]) for i in range(40)] + [(90, None), (91, ""), (92, "x " * 200_000), (1, ITEMS[1][1])]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, item_id int")
