@@ -8,7 +8,8 @@ Matching is done on a copy of the same length in which look-alikes, odd spaces a
 plain, so positions hold for the stored string.
 
 Cases: null and blank texts have no sentences; a text without a terminator is one; an unfinished last piece is
-one; long texts are walked once, in time proportional to their length; rows sent again give their sentences once.
+one; a quotation or bracket is closed by its mark however far off in its paragraph, and one that is not closed protects the rest of
+it only from ``UNCLOSED_CHARS`` on; long texts are walked once, in time proportional to their length; rows sent again give their sentences once.
 """
 
 from __future__ import annotations
@@ -51,8 +52,13 @@ MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Okto
 SAID = r"\b(?:said|says|told|asked|asks|shouted|cried|wrote|writes|replied|added|explained|insisted|answered|noted|warned|whispered|murmured|argued|declared|recalled|according|sagte|erklärte|fragte|meinte|rief|dit|demanda|déclaré|affirmé|expliqué|a dit|dijo|explicó|preguntó|afirmó|disse|perguntou|afirmou|сказал\w*|заявил\w*|спросил\w*|ответил\w*)\b|कहा|बताया|पूछा|बोले|قال|قالت|أضاف|صرح"
 PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "‹": "›", "(": ")", "（": "）", '"': '"', "＂": "＂", "〈": "〉", "《": "》"}
 
-#: Characters looked at behind a closing quotation for its reporting clause, and for a quotation's end.
-CLAUSE_CHARS, QUOTE_CHARS = 60, 600
+#: A quotation that nothing closes is one that was cut if it began so near the paragraph's end, else its mark is a stray one.
+UNCLOSED_CHARS = 600
+#: Behind so many characters of a clause a verb of reporting may belong to a clause within it.
+NEAR_CHARS = 60
+#: Words after which a verb is not that of the reporting clause.
+SUBORDINATE = r"\b(?:because|that|which|when|while|after|before|although|though|if|until|since|but|had|has|have|weil|dass|nachdem|aber|hatte|parce que|qui|que|mais|porque|pero|mas|потому|что|который|но)\b"
+_TURN = re.compile(r"\s[—–](?=[^\W\d_])")
 _GAP = re.compile(r"\n[ \t\r⁠]*\n\s*")
 _END = regex.compile(r"(?:[.…．｡]|\p{Sentence_Break=STerm})+(?:[.…．｡⁠]|\p{Sentence_Break=STerm}|(?:[ ]?[»›](?![\w«]))|[\"'”’)\]）」』】〉》＂])*")
 _WIDE_END = frozenset("。！？｡．︒﹒")
@@ -96,31 +102,61 @@ _ORDINAL_BEFORE = frozenset(BEFORE_ORDINAL.split())
 _ORDINAL_AFTER = frozenset(MONTHS.split())
 _ENDING = same_length(ENDING_LETTERS)
 _SAID = re.compile(same_length(SAID))
+_SUBORDINATE = re.compile(same_length(SUBORDINATE), re.IGNORECASE)
+_CLAUSE_END = re.compile(r"[.!?。！？।؟\n]")
+_MARKS = re.compile("[" + re.escape("".join(dict.fromkeys("".join((*PAIRS, *PAIRS.values()))))) + "]")
+_OPENED_BY = {c: [o for o, closers in PAIRS.items() if c in closers] for closers in PAIRS.values() for c in closers}
 
 
 def _protected(s: str) -> list[tuple[int, int]]:
     """Spans of quotations and brackets of a paragraph, outermost only."""
     spans: list[tuple[int, int]] = []
-    i, n = 0, len(s)
-    for m in re.finditer(r"[“«„「『‹(（\"＂〈《]", s):
-        i = m.start()
-        if spans and i < spans[-1][1]:
-            continue
-        opener = m[0]
-        if opener in "(（":
-            limit = 300
-        else:
-            limit = QUOTE_CHARS
-        if opener in "\"＂" and i and not s[i - 1].isspace() and s[i - 1] not in "(（[—–-…⁠" and s[i - 1].isalnum():
-            continue  # an inch sign or a stray closing mark
-        stop = min(n, i + limit)
-        closers = PAIRS[opener]
-        found = [k for c in closers if (k := s.find(c, i + 1, stop)) >= 0]
-        if found:
-            spans.append((i, min(found) + 1))
-        elif stop == n and opener not in "(（":
-            spans.append((i, n))  # cut inside a quotation
-    return spans
+    n = len(s)
+    opened: list[tuple[str, int]] = []
+    count = dict.fromkeys(PAIRS, 0)
+
+    for m in _MARKS.finditer(s):
+        c, i = m[0], m.start()
+        opener = next((o for o in _OPENED_BY.get(c, "") if count[o]), None)
+        if opener:  # what was opened behind it stays open and counts no more
+            while True:
+                o, at = opened.pop()
+                count[o] -= 1
+                if o == opener:
+                    break
+            spans.append((at, i + 1))
+        elif c in PAIRS:
+            if c in "\"＂" and i and not s[i - 1].isspace() and s[i - 1] not in "(（[—–-…⁠" and s[i - 1].isalnum():
+                continue  # an inch sign or a stray closing mark
+            if count[c] and c not in "(（":
+                continue  # quotations of one kind aren't nested: it goes on
+            opened.append((c, i))
+            count[c] += 1
+    # Cut inside a quotation; a mark further from the end is a stray one.
+    spans += [(i, n) for c, i in opened if c not in "(（" and n - i <= UNCLOSED_CHARS]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
+def _clause(s: str, k: int) -> str:
+    """What stands from ``k`` to the end of its clause: a full stop that isn't an abbreviation's, or a line's end."""
+    for m in _CLAUSE_END.finditer(s, k):
+        if m[0] == ".":
+            before = _BEFORE.search(s, max(k, m.start() - 40), m.start())
+            token = before[0].replace("⁠", "") if before else ""
+            if token in _ABBR or len(token) == 1 and token.isalpha() and token not in _ENDING or s[m.end() : m.end() + 1].isalnum():
+                continue
+        return s[k : m.start()]
+    return s[k:]
+
+
+def _reports(clause: str) -> bool:
+    """Whether a clause is a reporting one: its verb isn't that of a subordinate clause."""
+    m = _SAID.search(clause)
+    return m is not None and not (m.start() > NEAR_CHARS and _SUBORDINATE.search(clause, 0, m.start()))
 
 
 def _is_break(s: str, start: int, end: int, mark: str, quoted: bool) -> bool:
@@ -140,12 +176,11 @@ def _is_break(s: str, start: int, end: int, mark: str, quoted: bool) -> bool:
         j += 1
     follow = s[j] if j < n else ""
     if quoted and mark[-1] not in ".…":  # the terminator stands inside the quotation that closes here
-        clause = re.split(r"[.!?。！？।؟\n]", s[k : k + CLAUSE_CHARS])[0]
         if wide and not spaced:
             return False  # 「…。」と述べた, “…。”负责人说
         if follow.islower() and follow.isalpha() and unicodedata.category(follow) != "Lo":
             return False
-        if mark[0] != "." and _SAID.search(clause) and s[k] not in "“«„\"「":
+        if mark[0] != "." and s[k] not in "“«„\"「" and _reports(_clause(s, k)):
             return False
     if s[k] in ",;:،、，；：" or s[k] in "—–-" and k + 1 < n and s[k + 1] == " ":
         return False
@@ -220,6 +255,8 @@ def _paragraph(s: str, offset: int, put) -> None:
     spans = _protected(s) if re.search(r"[“«„「『‹(（\"＂〈《]", s) else []
     start, span = 0, 0
     dialogue = -1
+    # Ends of the dashes that may close a speech, the nearest last.
+    turns = [m.end() for m in _TURN.finditer(s)][::-1]
     spaceless = _SPACELESS.search(s) is not None
     ends = list(_END.finditer(s))
     if spaceless:
@@ -249,8 +286,9 @@ def _paragraph(s: str, offset: int, put) -> None:
         while k < end and (s[k].isspace() or s[k] == "⁠"):
             k += 1
         if s[k : k + 1] in "—–" and k + 1 < len(s) and (s[k + 1].isalpha() or s[k + 1] in "¿¡") and dialogue < k:
-            close = re.compile(r"\s[—–](?=[^\W\d_])").search(s, k + 1, k + QUOTE_CHARS)
-            dialogue = close.end() if close else (len(s) if len(s) - k < QUOTE_CHARS and "\n" not in s[k:] else k)
+            while turns and turns[-1] <= k + 2:
+                turns.pop()
+            dialogue = turns[-1] if turns else (len(s) if len(s) - k < UNCLOSED_CHARS and "\n" not in s[k:] else k)
         if dialogue > end:
             continue
         if _is_break(s, start, end, mark, quoted):

@@ -57,3 +57,30 @@ def test_rows(spark):
     df = spark.createDataFrame([("p", 1, "One sits. Two run."), ("p", 1, "One sits. Two run."), ("p", 2, None), ("q", 1, " ")], "src string, row_id bigint, text string")
     assert sorted(tuple(r) for r in sentence_spans(df).collect()) == [("p", 1, 0, 9), ("p", 1, 10, 18)]
     assert sentence_spans(df.limit(0)).count() == 0
+
+
+LONG = " ".join(f"The harbour of town {i} was closed for the winter. Was it sold?" for i in range(14))
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        (f"“{LONG}” said Ana.", "It was late."),
+        (f"\"{LONG}\" said Ana.", "It was late."),
+        (f"He left ({LONG} So they said) at noon.", "It was late."),
+        (f"(A first remark. (An inner one. It ended.) {LONG})", "It was late."),
+        (f"—{LONG} —dijo Ana.", "Era tarde."),
+        ("“Stop!” Ana Maria Lim of the long-named regional northern port authority said.", "It was late."),
+        ("“Stop!” Dr. Ana Lim said.", "It was late."),
+        ("“Stop!”", "The chair of the northern regional port authority left because the mayor said no."),
+    ],
+)
+def test_long_quotations_brackets_and_clauses(parts):
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences(text)] == list(parts)
+
+
+def test_unclosed_marks_in_linear_time():
+    for c in "(“\"„«":
+        assert sentences(f"One. {c}Two. Three. " * 20_000)
+    assert sentences("(" * 100_000 + "”" * 100_000)
