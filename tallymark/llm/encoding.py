@@ -7,7 +7,7 @@ texts garbled more than once.
 
 A sequence is kept only if well-formed text can't hold it: several characters of one multi-byte character
 (UTF-8 read as something else); a letter that breaks its word by script or case (one-byte encodings of Latin
-scripts); three letters in a row that no word has (one-byte encodings of Cyrillic). Sequences that might
+scripts); three letters in a row that no word has (one-byte encodings of Cyrillic, Arabic, Thai, Greek and Hebrew). Sequences that might
 stand in correct text by chance count as weak and need company.
 
 Cases: null and empty texts are not garbled; plain ASCII never is; a lone U+FFFD at the end of a line is where
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import cache
+from itertools import product
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,6 @@ from tallymark.sources.tables import table
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "cp866")
 LATIN_WRITTEN = ("cp1252", "cp1250", "mac_roman", "cp437", "cp850")
 CYRILLIC_WRITTEN = ("cp1251", "koi8-r", "cp866", "iso8859-5")
-CYRILLIC_READ = ("cp1252", "cp1251", "koi8-r", "cp866", "mac_roman")
 WIDE_READ = ("cp932", "gbk", "big5", "euc-kr")
 #: Letters and marks of Latin scripts beyond ASCII, and the twenty most frequent letters of Russian.
 LATIN_SMALL = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœąćęłńśźżčďěňřšťůžăâșțőű"
@@ -40,8 +40,15 @@ MARKS = "“”‘’„–—…«»¡¿"
 #: Marks that stand beside letters in correct text.
 BESIDE_LETTERS = "«»“”‘’„‚‹›–—…"
 RUSSIAN_FREQUENT = "оеаинтсрвлкмдпуязыбг"
-#: Characters that UTF-8 writes in several bytes: Latin to Arabic, Indic to Thai, punctuation and signs, kana, Han, Hangul, full width.
-SEVERAL_BYTES = ((0x80, 0x700), (0x900, 0x980), (0xE00, 0xE80), (0x1E00, 0x1F00), (0x2000, 0x2070), (0x20A0, 0x20C1), (0x2100, 0x2123), (0x2190, 0x21A0), (0x2500, 0x2580), (0x3000, 0x3100), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xFB00, 0xFB07), (0xFE00, 0xFEFF + 1), (0xFF00, 0xFFF0))
+#: Other scripts that are written in one byte: their encodings and their most frequent letters and signs.
+OTHER_WRITTEN = {
+    "ARABIC": (("cp1256", "iso8859-6"), "اليمونرتبةعدسفهكقأ"),
+    "THAI": (("cp874",), "านรกเงมยลวดทอสค่้ีัิ"),
+    "GREEK": (("cp1253", "iso8859-7"), "αοιετσνηυρπκμλςωάόίέ"),
+    "HEBREW": (("cp1255", "iso8859-8"), "יוהלאתמרשבנעםדקחפגטז"),
+}
+#: Characters that UTF-8 writes in two or three bytes; those of four bytes are found by their form.
+SEVERAL_BYTES = ((0x80, 0xD800), (0xF900, 0x10000))
 
 STRONG, RUN, WEAK, LOST, SILENT = 3, 2, 1, 0, -1
 
@@ -100,7 +107,7 @@ def _several_bytes(add) -> None:
                     continue
                 seen = "".join(signs[b] for b in c.encode("utf-8"))
                 if well_formed(seen):
-                    if c in LATIN_SMALL or c in LATIN_SMALL.upper():  # no evidence, but replaced inside a broken word
+                    if len(seen) > 2 or c in LATIN_SMALL or c in LATIN_SMALL.upper():  # no evidence, but replaced inside a broken word
                         add(seen, c, SILENT, "utf-8", reading)
                     continue
                 # A capital before a quote or a space, a quote before a letter: correct text has them as well.
@@ -141,7 +148,7 @@ def _one_byte_latin(add) -> None:
 def _one_byte_cyrillic(add) -> None:
     small = RUSSIAN_FREQUENT
     for written in CYRILLIC_WRITTEN:
-        for reading in CYRILLIC_READ:
+        for reading in READ_AS:
             if written == reading:
                 continue
             to = {c: _lenient(c.encode(written), reading) for c in small + small.upper()}
@@ -149,13 +156,26 @@ def _one_byte_cyrillic(add) -> None:
                 for b in small:
                     for c in small:
                         g = to[a] + to[b] + to[c]
-                        if not all(map(_seen, g)):
+                        if not all(map(_seen, g)) or all(x in BESIDE_LETTERS for x in g):
                             continue
                         accents = all(x.isalpha() and unicodedata.name(x, "").startswith("LATIN") for x in g)
                         if accents or not well_formed(g) and not g[1:].islower():
                             add(g, a + b + c, STRONG, written, reading)
 
 
+def _one_byte_other(add) -> None:
+    for encodings, frequent in OTHER_WRITTEN.values():
+        for written in encodings:
+            for reading in READ_AS:
+                to = {c: _lenient(b, reading) for c in frequent if (b := _byte(c, written)) and _seen(_lenient(b, reading))}
+                latin = {c for c, g in to.items() if g.isalpha() and unicodedata.name(g, "").startswith("LATIN")}
+                for a, b, c in product(to, repeat=3):
+                    g = to[a] + to[b] + to[c]
+                    letters = sum(map(str.isalpha, g))
+                    if letters == 3 and latin.issuperset((a, b, c)) or letters == 2 and not g[1:].islower() and not any(x in BESIDE_LETTERS for x in g) or letters == 3 and not g[1:].islower() and not well_formed(g):
+                        add(g, a + b + c, STRONG, written, reading)
+
+
 def _read_as_wide(add) -> None:
     """UTF-8 read in an encoding that takes two bytes for a character."""
     kana = [chr(cp) for cp in (*range(0x3041, 0x3094), *range(0x30A1, 0x30FB), 0x3001, 0x3002, 0x30FC)]
@@ -186,6 +206,7 @@ def automaton() -> ahocorasick.Automaton:
     _several_bytes(add)
     _one_byte_latin(add)
     _one_byte_cyrillic(add)
+    _one_byte_other(add)
     _read_as_wide(add)
     add("\ufffd", "", LOST, "?", "utf-8")
     a = ahocorasick.Automaton()
@@ -195,6 +216,31 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+@cache
+def _four_forms() -> list[tuple[str, re.Pattern, dict[str, int]]]:
+    """Of each reading encoding: what a character of four bytes looks like, and the bytes of its signs."""
+    out = []
+    for reading in READ_AS:
+        signs = {_lenient(bytes((b,)), reading): b for b in range(0x80, 0x100)}
+        lead, rest = ("".join(re.escape(c) for c, b in signs.items() if lo <= b < hi) for lo, hi in ((0xF0, 0xF5), (0x80, 0xC0)))
+        out.append((reading, re.compile(f"[{lead}][{rest}]{{3}}"), signs))
+    return out
+
+
+def _four_bytes(text: str) -> list[tuple[int, int, str, int, str]]:
+    """Garbled characters of four bytes, of all planes."""
+    found = []
+    for reading, form, signs in _four_forms():
+        for m in form.finditer(text):
+            try:
+                c = bytes(signs[x] for x in m[0]).decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if unicodedata.category(c) not in ("Cn", "Co", "Cs") and not well_formed(m[0]) and sum(_seen(x) and x not in BESIDE_LETTERS for x in m[0][1:]) >= 2:
+                found.append((m.start(), m.end(), c, STRONG, f"utf-8>{reading}"))
+    return found
+
+
 def _run(text: str, at: int) -> str:
     """The letters in a row around a position."""
     a = b = at
@@ -209,7 +255,7 @@ def garbled(text: str) -> list[tuple[int, int, str, int, str]]:
     """(start, end, original, strength, pair) of the garbled sequences; none if all may stand in correct text."""
     if text.isascii():
         return []
-    found = [(e + 1 - n, e + 1, o, s, p) for e, (n, o, s, p) in automaton().iter(text)]
+    found = [(e + 1 - n, e + 1, o, s, p) for e, (n, o, s, p) in automaton().iter(text)] + _four_bytes(text)
     if any(h[3] == SILENT for h in found):
         edges = {x for h in found if h[3] != SILENT for x in h[:2]}
         found = [h for h in found if h[3] != SILENT or h[0] in edges or h[1] in edges or not well_formed(_run(text, h[0]))]
@@ -266,6 +312,20 @@ def _reread(text: str, written: str, reading: str) -> str:
     return "".join(parts)
 
 
+def _reread_other(text: str, script: str, written: str, reading: str) -> str:
+    """Words whose characters beyond ASCII all stand for letters and signs of a script are read again."""
+    back = {k: _lenient(bytes((b,)), written) for b in range(128, 256) if len(k := _lenient(bytes((b,)), reading)) == 1}
+    table_ = str.maketrans(back)
+    parts = re.split(r"([ \t\r\n]+)", text)
+    for i in range(0, len(parts), 2):
+        if not parts[i].isascii():
+            made = parts[i].translate(table_)
+            kinds = [unicodedata.name(c, "").startswith(script) for c in made if not c.isascii() and c not in MARKS]
+            if kinds and all(kinds) and not re.search("[A-Za-z]", made):
+                parts[i] = made
+    return "".join(parts)
+
+
 def restore(text: str, rounds: int = 4) -> str:
     """The text with its garbled spans replaced, one pair of encodings after the other; what was lost stays U+FFFD."""
     for _ in range(rounds):
@@ -280,9 +340,13 @@ def restore(text: str, rounds: int = 4) -> str:
                     out += [text[at:start], original]
                     at = end
             made = "".join(out) + text[at:]
-        else:
-            pairs = [(w, r) for w in CYRILLIC_WRITTEN for r in CYRILLIC_READ if w != r] if written in CYRILLIC_WRITTEN else [(written, reading)]
-            made = max((_reread(text, w, r) for w, r in pairs), key=lambda x: sum(map(x.lower().count, RUSSIAN_FREQUENT[:10])))
+        elif written in LATIN_WRITTEN and written not in CYRILLIC_WRITTEN:
+            made = _reread(text, written, reading)
+        else:  # other scripts share many sequences: the one whose most frequent letters come out oftenest
+            made = [(RUSSIAN_FREQUENT, _reread(text, w, r)) for w in CYRILLIC_WRITTEN for r in READ_AS if w != r]
+            made += [(RUSSIAN_FREQUENT, _reread_other(text, "CYRILLIC", w, r)) for w in CYRILLIC_WRITTEN for r in READ_AS if w != r]
+            made += [(frequent, _reread_other(text, k, w, r)) for k, (encodings, frequent) in OTHER_WRITTEN.items() for w in encodings for r in READ_AS]
+            made = max(made, key=lambda x: sum(map(x[1].lower().count, x[0][:10])))[1]
         if made == text:
             break
         text = made
