@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from tallymark.llm.boilerplate import article, articles, dropped_lines, furniture_lines
+from tallymark.llm.boilerplate import article, articles, dropped_lines, furniture_lines, line_hash
 from tallymark.llm.residue import residue, residue_rows
 
 BODY = ["The board of the northern harbour met on Monday and approved the new ferry line.", "Prices rose by a tenth during the year, according to the port authority."]
@@ -28,9 +29,44 @@ def test_edges():
     assert furniture_lines("\n".join(BODY * 20_000)) == []
 
 
+LONG_NOTICE = (
+    "We and our partners use cookies and similar technologies to store information on your device, to measure how this site is used and to show you offers that match. "
+    "You can change your cookie settings at any time. By continuing to browse this site you agree to our use of cookies and to our privacy policy, which explains all of this in more detail."
+)
+
+
+def test_notices_of_any_length_between_paragraphs():
+    short = "We use cookies to make this site work better for you, and you can change what you accept in the settings here."
+    assert len(short) > 105 and len(LONG_NOTICE) > 320
+    assert furniture_lines("\n".join(["Harbour votes", BODY[0], short, BODY[1], LONG_NOTICE, BODY[0]])) == [2, 4]
+    told = "The regulator said on Monday that the company had stored cookies without asking, and fined it. " + BODY[0] + " " + BODY[1]
+    assert furniture_lines("\n".join(["Harbour votes", BODY[0], told, BODY[1]])) == []
+
+
+def test_every_stretch_that_surges_is_kept():
+    lines = ["Harbour votes", *BODY * 3, *["Advertisement"] * 15, *BODY * 2, "Back to top", *["Share"] * 9, "Ok."]
+    assert furniture_lines("\n".join(lines)) == [*range(7, 22), *range(26, 37)]
+
+
+def test_a_sites_own_lines(spark):
+    body = lambda k: f"Paragraph number {k} of this article says {k * 7} things about the harbour and its ferries."
+    texts = {k: "\n".join(["Acme Harbour Portal welcomes its readers to the second best portal of all.", body(k), body(k + 50), "This portal is printed on old paper."]) for k in range(20)}
+    rows = [("s", k, f"http://a.test/{k}", t) for k, t in texts.items()] + [("s", 100 + k, "http://a.test/0", texts[0]) for k in range(300)]
+    got = sorted((r.row_id, r.line_no) for r in dropped_lines(spark.createDataFrame(rows, "src string, row_id bigint, url string, text string")).collect())
+    assert got == sorted((r[1], n) for r in rows for n in (0, 3))
+    # The same page fetched again and again is one page of its site.
+    once = spark.createDataFrame(rows[20:], "src string, row_id bigint, url string, text string")
+    assert dropped_lines(once).count() == 0
+
+
+def test_hash_is_sparks(spark):
+    for x in ("", "Ünïcode 漢字", "x" * 1000):
+        assert spark.range(1).select(F.xxhash64(F.lit(x))).first()[0] == line_hash(x)
+
+
 def test_pages_as_rows(spark):
-    rows = [("s", 1, "\n".join(PAGE), 0), ("s", 1, "\n".join(PAGE), 0), ("s", 2, None, 0), ("s", 3, "", 0), ("s", None, "x", 0)]
-    df = spark.createDataFrame(rows, "src string, row_id bigint, text string, line_no int")
+    rows = [("s", 1, "http://a.test/", "\n".join(PAGE), 0), ("s", 1, "http://a.test/", "\n".join(PAGE), 0), ("s", 2, None, None, 0), ("s", 3, None, "", 0), ("s", None, None, "x", 0)]
+    df = spark.createDataFrame(rows, "src string, row_id bigint, url string, text string, line_no int")
     assert sorted(r.line_no for r in dropped_lines(df).collect()) == WANT
     assert articles(df).count() == 2 and dropped_lines(df.limit(0)).count() == 0
 
