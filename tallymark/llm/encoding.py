@@ -288,10 +288,15 @@ def _runs(token: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in token).split()
 
 
+@cache
+def _back(written: str, reading: str) -> dict[int, str]:
+    """What was read -> what was written, of the signs beyond ASCII."""
+    return str.maketrans({_lenient(bytes((b,)), reading): _lenient(bytes((b,)), written) for b in range(128, 256)})
+
+
 def _reread(text: str, written: str, reading: str) -> str:
     """Words that aren't well formed are read again in the encoding they were written in, if that makes them so."""
-    back = {_lenient(bytes((b,)), reading): _lenient(bytes((b,)), written) for b in range(128, 256)}
-    table_ = str.maketrans({k: v for k, v in back.items() if len(k) == 1})
+    table_ = _back(written, reading)
     parts = re.split(r"([ \t\r\n]+)", text)
     words = [i for i in range(0, len(parts), 2) if not parts[i].isascii()]
     bad = {i: any(not well_formed(r) for r in _runs(parts[i])) or any(unicodedata.category(c) in ("So", "Sm", "Sc", "No") for c in parts[i]) for i in words}
@@ -314,8 +319,7 @@ def _reread(text: str, written: str, reading: str) -> str:
 
 def _reread_other(text: str, script: str, written: str, reading: str) -> str:
     """Words whose characters beyond ASCII all stand for letters and signs of a script are read again."""
-    back = {k: _lenient(bytes((b,)), written) for b in range(128, 256) if len(k := _lenient(bytes((b,)), reading)) == 1}
-    table_ = str.maketrans(back)
+    table_ = _back(written, reading)
     parts = re.split(r"([ \t\r\n]+)", text)
     for i in range(0, len(parts), 2):
         if not parts[i].isascii():
