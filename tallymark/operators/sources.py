@@ -29,7 +29,7 @@ def check_sources(claims: DataFrame, pages: DataFrame, snapshots: DataFrame, use
     claims: claim, source_url and any other columns. pages: one row per url, as fetched. snapshots: one row per url
     with snapshot_date, snapshot_url and the archived page's a_status, a_text, a_kind, a_truncated. Sources that
     aren't web addresses are not looked up; each distinct page's features are made once. A null claim is an
-    empty one. The join keys are addresses: one cited by a third of all claims is split by adaptive execution.
+    empty one. The join keys are addresses: one that a third of all claims point to is split by adaptive execution.
     """
     c = claim_features(claims).withColumn("_url", F.when(urls.is_web(F.col("source_url")), urls.canonical(F.col("source_url"))))
     live = page_features(pages.withColumn("l_text", F.coalesce("text", F.lit(""))).withColumn("l_status", F.col("status")), "l_text")

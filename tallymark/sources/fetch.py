@@ -1,8 +1,8 @@
 """The one stage that touches the network: guarded GETs of distinct addresses, off unless called.
 
 Every hop's address is judged before and after its name is resolved, and the connection goes to an address that was
-judged. Addresses of one host share a task, which spaces them; that is the point of a host's limit, so a host cited
-by a third of all claims is read by one task, one page a second.
+judged. Addresses of one host share a task, which spaces them; that is the point of a host's limit, so a host that
+a third of all claims point to is read by one task, one page a second.
 """
 
 from __future__ import annotations
