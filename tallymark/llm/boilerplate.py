@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.confusables import skeleton
-from tallymark.llm.encoding import garbled, restore
+from tallymark.llm.encoding import garbled, restore, sent
 from tallymark.llm.rows import flat_map, host
 from tallymark.sources.tables import table
 
@@ -68,7 +68,8 @@ _BYLINE = re.compile(skeleton(BYLINE))
 _TERMINAL = re.compile(r"[.!?…。！？।؟۔:;：]['\"”’»“)\]）」』]*$")
 _STOPS = re.compile(r"[.!?。！？।؟۔](?=\s|$)")
 _LIST_ITEM = re.compile(r"(?:[•‣▪·*–-]|\d{1,2}[.)])\s+\S")
-_LINK_BAR = re.compile(r"\s+[|·•/»]\s+")
+_LINK_BAR = re.compile(r" +[|·•/»] +")
+_BAR_SIGN = re.compile(r" [|·•/»>›] ")
 _THAI = re.compile("[\u0e00-\u0e7f]")
 _CRUMB = re.compile(r"[^>›»]{1,40}(?: [>›»] [^>›»]+)+$")
 #: An item of a link bar or a menu is at most so long; a headline or byline too.
@@ -131,6 +132,8 @@ def _short_kind(s: str) -> str:
 
 def _links(s: str, f: str) -> bool:
     """Whether a line is a bar of links or a breadcrumb."""
+    if not _BAR_SIGN.search(f):
+        return False
     links = _LINK_BAR.split(f)
     if len(links) > 1 and all(len(x) <= LINK_CHARS for x in links) and not (len(links) == 2 and _TERMINAL.search(s)):
         return True
@@ -288,7 +291,7 @@ def _dropped(src: str, key: int, text: str, site: list[int] | None):
 
 def dropped_lines(df: DataFrame) -> DataFrame:
     """(src, row_id, url, text) -> (src, row_id, line_no) of the lines to drop, each once."""
-    return flat_map(_with_site(df), _dropped, "src string, row_id bigint, line_no int").distinct()
+    return flat_map(_with_site(df), _dropped, "src string, row_id bigint, line_no int", sent(df.sparkSession)).distinct()
 
 
 def _article(src: str, key: int, text: str, site: list[int] | None):
@@ -297,7 +300,7 @@ def _article(src: str, key: int, text: str, site: list[int] | None):
 
 def articles(df: DataFrame) -> DataFrame:
     """(src, row_id, url, text) -> (src, row_id, article), one per row."""
-    return flat_map(_with_site(df), _article, "src string, row_id bigint, article string")
+    return flat_map(_with_site(df), _article, "src string, row_id bigint, article string", sent(df.sparkSession))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

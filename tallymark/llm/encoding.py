@@ -16,12 +16,16 @@ a text was cut and no case, any other U+FFFD is one, though what it stood for is
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
+import zlib
+from collections.abc import Callable
 from functools import cache
 from itertools import product
 
 import ahocorasick
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,22 +220,50 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+_installed: list[ahocorasick.Automaton] = []
+_sent: dict[str, Broadcast] = {}
+
+
+def _matcher() -> ahocorasick.Automaton:
+    """The automaton that was sent to this process, else one made here."""
+    return _installed[0] if _installed else automaton()
+
+
+def sent(spark: SparkSession) -> Callable[[], tuple]:
+    """Makes the automaton once per application and sends it out; the result is a ``setup`` that puts it in place in a task's process.
+
+    Its size is fixed (some 10 MB), and reading it takes a tenth of the time that making it does.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _sent:
+        _sent[app] = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(automaton()), 1))
+    packed = _sent[app]
+    return lambda: _install(packed)
+
+
+def _install(packed: Broadcast) -> tuple:
+    if not _installed:
+        _installed.append(pickle.loads(zlib.decompress(packed.value)))
+    return ()
+
+
 @cache
-def _four_forms() -> list[tuple[str, re.Pattern, dict[str, int]]]:
-    """Of each reading encoding: what a character of four bytes looks like, and the bytes of its signs."""
+def _four_forms() -> list[tuple[str, frozenset[str], re.Pattern, dict[str, int]]]:
+    """Of each reading encoding: the first signs of a character of four bytes, what it looks like, and the bytes of its signs."""
     out = []
     for reading in READ_AS:
         signs = {_lenient(bytes((b,)), reading): b for b in range(0x80, 0x100)}
         lead, rest = ("".join(re.escape(c) for c, b in signs.items() if lo <= b < hi) for lo, hi in ((0xF0, 0xF5), (0x80, 0xC0)))
-        out.append((reading, re.compile(f"[{lead}][{rest}]{{3}}"), signs))
+        first = frozenset(c for c, b in signs.items() if 0xF0 <= b < 0xF5)
+        out.append((reading, first, re.compile(f"[{lead}][{rest}]{{3}}"), signs))
     return out
 
 
 def _four_bytes(text: str) -> list[tuple[int, int, str, int, str]]:
     """Garbled characters of four bytes, of all planes."""
-    found = []
-    for reading, form, signs in _four_forms():
-        for m in form.finditer(text):
+    found, there = [], set(text)
+    for reading, first, form, signs in _four_forms():
+        for m in form.finditer(text) if not first.isdisjoint(there) else ():
             try:
                 c = bytes(signs[x] for x in m[0]).decode("utf-8")
             except UnicodeDecodeError:
@@ -255,7 +287,7 @@ def garbled(text: str) -> list[tuple[int, int, str, int, str]]:
     """(start, end, original, strength, pair) of the garbled sequences; none if all may stand in correct text."""
     if text.isascii():
         return []
-    found = [(e + 1 - n, e + 1, o, s, p) for e, (n, o, s, p) in automaton().iter(text)] + _four_bytes(text)
+    found = [(e + 1 - n, e + 1, o, s, p) for e, (n, o, s, p) in _matcher().iter(text)] + _four_bytes(text)
     if any(h[3] == SILENT for h in found):
         edges = {x for h in found if h[3] != SILENT for x in h[:2]}
         found = [h for h in found if h[3] != SILENT or h[0] in edges or h[1] in edges or not well_formed(_run(text, h[0]))]
@@ -372,13 +404,13 @@ def _restored(key: int, text: str):
 def garbled_keys(df: DataFrame, key: str, text: str) -> DataFrame:
     """Keys of the rows whose text is garbled, wholly or in part; each key once."""
     rows = df.where(F.col(text).isNotNull() & F.col(text).rlike(r"[^\x00-\x7F]")).select(key, text)
-    return flat_map(rows, _found, f"{key} bigint").distinct()
+    return flat_map(rows, _found, f"{key} bigint", sent(df.sparkSession)).distinct()
 
 
 def restored(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, restored, n_spans, pair, complete) of the garbled rows; nothing for the others."""
     rows = df.where(F.col(text).isNotNull() & F.col(text).rlike(r"[^\x00-\x7F]")).select(key, text)
-    return flat_map(rows, _restored, f"{key} bigint, restored string, n_spans int, pair string, complete boolean")
+    return flat_map(rows, _restored, f"{key} bigint, restored string, n_spans int, pair string, complete boolean", sent(df.sparkSession))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.boilerplate import fold, furniture_lines
 from tallymark.llm.confusables import skeleton
+from tallymark.llm.encoding import sent
 from tallymark.llm.rows import first_of_key, flat_map
 from tallymark.sources.tables import table
 
@@ -195,7 +196,7 @@ def _found(key: int, text: str, kind: str):
 def residue_rows(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     """(key, residue) of the rows that hold residue; a key sent again once per kind of residue."""
     rows = df.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(key).isNotNull()).select(key, text, kind)
-    return flat_map(rows, _found, f"{key} bigint, residue string").distinct()
+    return flat_map(rows, _found, f"{key} bigint, residue string", sent(df.sparkSession)).distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.confusables import prototypes
-from tallymark.llm.encoding import garbled
+from tallymark.llm.encoding import garbled, sent
 from tallymark.llm.rows import flat_map
 from tallymark.sources.tables import table
 
@@ -310,7 +310,7 @@ def _units(src: str, key: int, text: str):
 def sentence_spans(df: DataFrame) -> DataFrame:
     """(src, row_id, text) -> (src, row_id, start_pos, end_pos), each once."""
     rows = df.where("text is not null and row_id is not null").select("src", "row_id", "text").distinct()
-    return flat_map(rows, _found, "src string, row_id bigint, start_pos int, end_pos int").distinct()
+    return flat_map(rows, _found, "src string, row_id bigint, start_pos int, end_pos int", sent(df.sparkSession)).distinct()
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +327,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of every document: their number per document and the longest one's characters."""
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.lit("documents").alias("src"), F.col("doc_id").alias("row_id"), "text")
-    units = flat_map(d, _units, "src string, doc_id bigint, n int, sentence string")
+    units = flat_map(d, _units, "src string, doc_id bigint, n int, sentence string", sent(spark))
     return units.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("sentence")).alias("longest"))
 
 
