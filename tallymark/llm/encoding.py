@@ -273,6 +273,10 @@ def _four_bytes(text: str) -> list[tuple[int, int, str, int, str]]:
     return found
 
 
+#: Lone small letters of Latin-1 between ASCII ones, neither behind a mark nor before a capital: no sequence is made of such.
+_PLAIN = re.compile(r"(?:[\x00-\x7F]|(?<![.,!?])[ßà-öø-ÿ](?![A-Z\x80-\U0010FFFF]))*+")
+
+
 def _run(text: str, at: int) -> str:
     """The letters in a row around a position."""
     a = b = at
@@ -285,7 +289,7 @@ def _run(text: str, at: int) -> str:
 
 def garbled(text: str) -> list[tuple[int, int, str, int, str]]:
     """(start, end, original, strength, pair) of the garbled sequences; none if all may stand in correct text."""
-    if text.isascii():
+    if text.isascii() or _PLAIN.fullmatch(text):
         return []
     found = [(e + 1 - n, e + 1, o, s, p) for e, (n, o, s, p) in _matcher().iter(text)] + _four_bytes(text)
     if any(h[3] == SILENT for h in found):

@@ -1,10 +1,11 @@
 """Template residue, filler and error-page text instead of, or amid, real content.
 
-Placeholders are found by one grammar per delimiter, unrendered values and filler by expressions; each
-finding is weighed against its surroundings: a sentence that shows, quotes or explains such a thing, code
-blocks, and tutorials (many code spans for the text's length) don't count. A page is an error or script notice
-if its own content, without the site's furniture, is one: its leading sentences are such messages and hardly
-any prose is left beside them.
+Placeholders are found by one grammar per delimiter, unrendered values and filler by expressions. What is found is weighed
+against its surroundings, by structure: it is shown, not left over, if it stands in quotation marks or code, behind a word that
+names such things (`the word`, `a placeholder`), or as the object of a verb of writing or showing in a sentence that names
+such things. Delimiters that prose uses as well (one pair of braces or brackets) count for a name of a field, braces also beside other
+ones on the page. Code blocks don't count, nor pages that are largely code. A page is an error or script
+notice if its own content, without the site's furniture, is one: such messages lead it and hardly any other prose stands beside them.
 
 Cases: null and empty texts have no residue; whole texts are read, however long; status and kind are not asked;
 rows sent again count once.
@@ -18,7 +19,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.boilerplate import fold, furniture_lines
+from tallymark.llm.boilerplate import BY, HEADLINE, _kind, fold, furniture_lines
 from tallymark.llm.confusables import skeleton
 from tallymark.llm.encoding import sent
 from tallymark.llm.rows import first_of_key, flat_map
@@ -32,16 +33,22 @@ GRAMMARS = {
     "${ }": rf"\$\{{\s*{_NAME}(?:\(\))?\s*\}}",
     "#{ }": rf"#\{{\s*{_NAME}\s*\}}",
     "<% %>": rf"<%[=\-#]?\s*{_NAME}[^<>%]*%>",
-    "<< >>": rf"<<\s*{_NAME}\s*>>|«{_NAME}»(?<=[a-z]»)(?<=_\w»)",
+    "<< >>": rf"<<\s*{_NAME}\s*>>|«[A-Za-z]\w*[_.]\w+»",
     "%% %%": rf"%%\s*{_NAME}\s*%%",
     "@@ @@": rf"@@\s*{_NAME}\s*@@",
     "__ __": r"(?<!\w)__[A-Za-z][A-Za-z0-9.]*(?:_[A-Za-z0-9.]+)*__(?!\w)",
+    "$ $": r"(?<![\w$])\$[A-Za-z][\w.]{2,}\$(?![\w$])",
+    "*| |*": rf"\*\|\s*{_NAME}\s*\|\*",
     "[[ ]]": rf"\[\[\s*{_NAME}\s*\]\]",
-    "{ }": r"(?<![\w$#{{])\{\s*(?:\d{1,2}|[A-Za-z][\w.]*)\s*\}(?!\})",
-    "[ ]": r"\[(?:INSERT|YOUR|ENTER|ADD|TODO|TBD|TK)\b[^\]\n]{0,60}\]|\[[A-Z]{3,}(?:[ _][A-Z]{2,})*\](?!\()|\[(?:insert|your|enter|add) [^\]\n]{2,60}\]",
+    "[ ]": r"\[(?:INSERT|YOUR|ENTER|ADD|TODO|TBD|TK)\b[^\]\n]*\]|\[[A-Z]{2,}(?:[ _.][A-Z]{2,})+\](?!\()|\[(?:insert|your|enter|add) [^\]\n]{2,}\]",
     "% %": r"(?<![\w%])%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+%(?![\w%])|%\([a-z_]\w*\)[sd]",
     "X": r"\bX{3}[-. ]X{3,4}(?:[-. ]X{2,4})?\b|\b(?:name|user|email|info)@(?:yourdomain|yoursite|yourcompany|domain)\b",
 }
+#: Forms that prose and formulas have as well: they count for a field's name, braces also where the page has several.
+WEAK = {"{ }": r"(?<![\w$#{}\\])\{\s*(\d{1,2}|[A-Za-z][\w.]*)\s*\}(?!\})", "[ ]": r"(?<![\w\]])\[([A-Z]{3,})\](?!\()"}
+# Common names of fields in templates.
+FIELDS = """name firstname lastname fullname username user title date pubdate updated lastupdated modified time year email mail phone address street city town region country state zip company author editor
+price amount total currency id number count section category headline tagline subject quote url link image caption text body description summary intro product item price order issue status noun adjective verb""".split()
 #: Values that were never rendered.
 VALUES = r"\[object (?:Object|Array|Undefined|HTML\w+)\]|\bInvalid Date\b|(?:[:=]|\bis|\bby|\bon|\bfrom|\bof|\bfor|\bto|\bat) (?:undefined|NaN|null)\b|\b(?:undefined|NaN|null) (?:minutes?|hours?|days?|views?|items?|results?|comments?|stars?|undefined|null|NaN|\d)\b|\$(?:NaN|undefined)\b"
 # Words of the usual filler Latin, and phrases that hold the place of a text.
@@ -71,21 +78,22 @@ página não encontrada|a página (?:solicitada|que)|ative o javascript|habilite
 पृष्ठ नहीं मिला|कृपया javascript|الصفحة (?:غير موجودة|المطلوبة|التي)|يرجى تفعيل|ไม่พบหน้า|กรุณาเปิดใช้งาน|เกิดข้อผิดพลาด"""
 #: Lines that servers put below their messages.
 TRAILERS = r"incident id|error code|reference #|request id|ray\b|host:|nginx|nginy|apache|loading\W*$|go back to|return to the home|try the search|if the problem persists|contact the site|client ip|trace id"
-#: Words by which a sentence talks about such things, or shows them.
-ABOUT = r"\b(?:style ?guide|developers?|designers?|programmers?|engineers? write|tutorial|template(?:s| language| engine| tool| in)|typeface|typesetters?|syntax|variables?|for example|an example of|as an example|e\.g\.|such as|the (?:word|string|phrase|term|token|placeholder|marker|notation|text)s? [“\"'‘«{<\[$%#@_]?\w+|printed|museum|study|archives? found|links ending|regulator asked|forms say|is read as|means|meant|stands for|replaced by|quoted|quotes?|reports?|wrote|writes|shows?|showed|display(?:s|ed)|explains?|documentation|manual|print shop|used to test|still set|zeigt|beispiel|entwickler|schreib|exemple de|ejemplo de|los desarrolladores|les développeurs|variable)\b"
-
-#: What stands right before a thing that is shown, not left over.
-SHOWN = r"(?:\b(?:writes?|wrote|types?|uses?|shows?|showed|displays?|displayed|prints?|printed|quotes?|quoted|means?|meant|explains?|such as|e\.g\.|for example,?|an example of|word|string|phrase|term|token|placeholder|marker|notation|variable|schreiben|schreibt|zeigt|écrivent|escriben)s?:?\s*)$"
-#: Words of ABOUT in a sentence from which it is about such things as a whole, by kind of residue.
-DENSITY = {"placeholder": 3, "value": 2}
+# Words that name such things, and verbs that have what is written or shown as their object.
+NAMING = r"\b(?:placeholders?|variables?|templates?|syntax|notations?|markers?|tokens?|tags?|merge fields?|strings?|markup|source code|code samples?|examples?|e\.g\.|documentation|tutorials?|developers?|programmers?|filler|dummy text|platzhalter|variablen?|vorlagen?|beispiele?|entwickler|variables|modèles?|exemples?|développeurs|plantillas?|ejemplos?|desarrolladores|marcadores|modelos?|exemplos?|desenvolvedores|шаблон\w*|переменн\w*|пример\w*)\b|模板|变量|占位符|テンプレート|変数|例"
+BEHIND = r"\b(?:words?|strings?|phrases?|terms?|tokens?|placeholders?|markers?|notations?|variables?|tags?|characters|text|such as|e\.g\.|for example,?|like|called|wort|platzhalter|mot|palabra|palavra|слово)[:\s]*$"
+SHOWING = r"\b(?:writes?|wrote|written|types?|typed|uses?|used|shows?|showed|shown|displays?|displayed|prints?|printed|inserts?|puts?|means?|meant|schreiben|schreibt|zeigt|zeigen|écrivent|écrit|montre|escriben|escribe|muestra|escrevem|mostra)[:\s]*$"
 
 _GRAMMAR = re.compile("|".join(f"(?:{g})" for g in GRAMMARS.values()))
 _VALUES = re.compile(VALUES)
 _FILLER = re.compile(skeleton(FILLER.replace("\n", "|")))
 _ERROR = re.compile(r"^\W*(?:" + skeleton(ERRORS.replace("\n", "|")) + ")")
 _TRAILER = re.compile(r"^\W*(?:" + TRAILERS + ")")
-_ABOUT = re.compile(skeleton(ABOUT))
-_SHOWN = re.compile(skeleton(SHOWN))
+_WEAK = [re.compile(p) for p in WEAK.values()]
+_BRACES = _WEAK[0]
+_NAMING = re.compile(skeleton(NAMING))
+_BEHIND = re.compile(skeleton(BEHIND))
+_SHOWING = re.compile(skeleton(SHOWING))
+_FIELD = re.compile("(?:" + "|".join(FIELDS) + r")s?\d*")
 _OPENING, _CLOSING = "\"'“‘„‚«‹「『`", "\"'”’“‘»›」』`"
 _AND = re.compile(r"[\"'”’»]?\s*(?:[,/]|,?\s*(?:and|or|und|oder|et|ou|y|o))\s*[\"'“‘«]?")
 _ASCII_WORD = re.compile(r"[a-z]+")
@@ -94,9 +102,10 @@ _SENTENCE = re.compile(r"[^.!?。！？।؟\n]*(?:[.!?](?=[\w{\[<%@#$_])[^.!?
 _INLINE_CODE = re.compile(r"`[^`\n]+`")
 #: Every phrase of filler holds one of these.
 _FILLER_KEYS = tuple(skeleton(x) for x in "here hier placeholder text copy content click tap todo tbd fixme written supplied later replace coming platzhalter exemple remplissage remplacer factice ejemplo relleno muestra prueba exemplo preenchimento texto текст рыба 示例 占位 此处 请在此 这里是 ダミー サンプル ここに 仮 नमूना यहाँ نص أدخل ข้อความ".split())
-_MAYBE = re.compile(r"[{}<>\[\]%@#$]|__|XXX|@|undefined|NaN|null|Invalid Date")
-#: Prose beside an error message, in characters, from which a page has content of its own.
-CONTENT_CHARS = 160
+_MAYBE = re.compile(r"[«{}<>\[\]%@#$]|__|XXX|@|undefined|NaN|null|Invalid Date")
+#: Share of code from which a page is a tutorial; a sentence without a message that is no longer is a label.
+#: Other sentences for each message, at most: what a notice says to explain itself.
+TUTORIAL, LABEL_CHARS, EXPLAINED = 0.2, 45, 2
 
 
 def without_code(text: str) -> str:
@@ -120,44 +129,67 @@ def _is_filler_latin(words: list[str]) -> bool:
     return len(words) >= 5 and sum(map(_LATIN_FILLER.__contains__, words)) >= 0.8 * len(words)
 
 
-def _talked_about(s: str, kind: str, found: list[re.Match]) -> bool:
-    """Whether a sentence speaks about what was found in it: a word that says so, and each find quoted or shown, or many such words."""
-    n = len(_ABOUT.findall(fold(_GRAMMAR.sub(" ", s))))
-    if not n or n >= DENSITY[kind]:
-        return bool(n)
-    last = None
+def _shown(s: str, found: list[re.Match]) -> bool:
+    """Whether everything that was found in a sentence is shown or quoted there rather than left over."""
+    naming, last = None, None
     for m in found:
         before, after = s[: m.start()].rstrip(), s[m.end() :].lstrip()
         quoted = before[-1:] in _OPENING and after[:1] in _CLOSING and before and after
         listed = last is not None and _AND.fullmatch(s, last.end(), m.start())
-        if not quoted and not listed:
-            f = fold(s[: m.start()])
-            shown = _SHOWN.search(f)
-            if not shown or not _ABOUT.search(f[: shown.start()] + " | " + fold(_GRAMMAR.sub(" ", s[m.end() :]))):
-                return False
         last = m
+        if quoted or listed:
+            continue
+        f = fold(s[: m.start()])
+        if _BEHIND.search(f):
+            continue
+        if naming is None:
+            rest, at = [], 0
+            for x in found:
+                rest.append(s[at : x.start()])
+                at = x.end()
+            naming = _NAMING.search(fold(" ".join([*rest, s[at:]]))) is not None
+        if not (naming and _SHOWING.search(f)):
+            return False
     return True
 
 
+def _is_field(name: str) -> bool:
+    """Whether a name, or its first or last part, is that of a field."""
+    parts = re.split(r"[_.\s]|(?<=[a-z])(?=[A-Z])", name)
+    return any(_FIELD.fullmatch(x.lower()) for x in (parts[0], parts[-1], "".join(parts)))
+
+
 @lru_cache(maxsize=50_000)
 def sentence_residue(s: str) -> str | None:
-    """Kind of residue in a sentence: placeholder, value, filler; None if there is none or it is only talked about."""
+    """Kind of residue in a sentence: placeholder, value, filler; None if there is none or it is only shown."""
     f = fold(s)
     if _MAYBE.search(s):
         for kind, grammar in (("placeholder", _GRAMMAR), ("value", _VALUES)):
-            if (found := list(grammar.finditer(s))) and not _talked_about(s, kind, found):
+            if (found := list(grammar.finditer(s))) and not _shown(s, found):
                 return kind
+        found = [m for p in _WEAK for m in p.finditer(s) if _is_field(m[1])]
+        if found and not _shown(s, found):
+            return "placeholder"
     if _is_filler_latin(_ASCII_WORD.findall(f)):
         return "filler"
-    if any(k in f for k in _FILLER_KEYS) and _FILLER.search(f) and not (_ABOUT.search(f) and len(f) > 110):
+    if any(k in f for k in _FILLER_KEYS) and (found := list(_FILLER.finditer(f))) and not _shown(f, found):
         return "filler"
     return None
 
 
+def _several_weak(sentences: list[str]) -> bool:
+    """Whether different names stand in single braces on the page, not only shown; abbreviations in brackets say nothing by their number."""
+    names: set[str] = set()
+    for s in sentences:
+        if "{" in s and (found := list(_BRACES.finditer(s))) and not _shown(s, found):
+            names.update(m[1] for m in found)
+    return len(names) > 1
+
+
 @lru_cache(maxsize=50_000)
 def is_message(s: str) -> bool:
     """Whether a sentence is an error, check or script message itself."""
-    return len(s) <= 200 and bool(_ERROR.search(fold(s)))
+    return bool(_ERROR.search(fold(s)))
 
 
 def residue(text: str, html: bool) -> str | None:
@@ -168,23 +200,25 @@ def residue(text: str, html: bool) -> str | None:
         return None
     whole = "\n".join(lines)
     plain = without_code(whole)
-    tutorial = len(whole) - len(plain) > 0.2 * len(whole)
-    if not tutorial:
-        for line in plain.split("\n"):
-            for s in _sentences(line):
-                if (kind := sentence_residue(s)) is not None:
-                    return kind
+    if len(whole) - len(plain) <= TUTORIAL * len(whole):
+        said = [s for line in plain.split("\n") for s in _sentences(line)]
+        for s in said:
+            if (kind := sentence_residue(s)) is not None:
+                return kind
+        if _several_weak(said):
+            return "placeholder"
+    # Messages and other sentences; labels and what servers put below their messages count for neither.
     messages = prose = 0
-    for n, line in enumerate(lines):
-        parts = _sentences(line)
-        for s in parts:
+    for line in lines:
+        label = _kind(line) in (HEADLINE, BY)
+        for s in _sentences(line):
             if is_message(s):
                 messages += 1
-            elif not _TRAILER.search(s.lower()) and (len(s) > 45 or re.search(r"[ऀ-￿]{12}", s)):
-                prose += len(s) if s[0] < "ऀ" else 3 * len(s)
-        if n == 0 and not messages and prose > CONTENT_CHARS:
+            elif not label and not _TRAILER.search(s.lower()) and (len(s) > LABEL_CHARS or re.search(r"[ऀ-￿]{12}", s)):
+                prose += 1
+        if prose and not messages:
             return None
-    return "notice" if messages and prose < CONTENT_CHARS and any(is_message(s) for x in lines[:2] for s in _sentences(x)) else None
+    return "notice" if messages and EXPLAINED * messages >= prose else None
 
 
 def _found(key: int, text: str, kind: str):

@@ -121,3 +121,35 @@ def test_residue_rows(spark):
 )
 def test_residue_beside_other_words(text, kind):
     assert residue(text, False) == kind
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("Dear {{ customer.name }}, the museum means a lot to us.", "placeholder"),
+        ("The museum reopened and the ticket reads {{price}} at the door.", "placeholder"),
+        ("Sehr geehrte «first_name», der Bericht liegt bei.", "placeholder"),
+        ("Il a dit «oui» puis «non» au maire.", None),
+        ("Talks with [NATO] and the port went on for an hour.", None),
+        ("The treaty binds [NATO] and [UNESCO] alike.", None),
+        ("The treaty with [COMPANY] binds us.", "placeholder"),
+        (r"The ratio is \frac{a}{b} for each ferry, as shown.", None),
+        ("According to {1} the harbour was built first.", None),
+        ("Chapter {0} of {1} follows.", "placeholder"),
+        ("Our office in *|CITY|* opens at $opening_time$.", "placeholder"),
+        ("Write to {company} for a copy of the report.", "placeholder"),
+        ("The price rose from $5 to $7 and then to $9 in May.", None),
+        ("Each e-mail of the bank opened with the placeholder {{first_name}}, and nobody had noticed.", None),
+        ("The letter began with “Dear {{name}}”, she said.", "placeholder"),  # only the whole quotation is quoted
+        ("The letter began with “{{name}}”, she said.", None),
+        ("Her book calls the token %%EMAIL%% a relic of the nineties.", None),
+        ("Programmers used to type ${user} there by hand.", None),
+        ("Entwickler schreiben {{vorname}} und {{nachname}} in die Vorlage.", None),
+        ("Printers have set lorem ipsum in their trays for five hundred years, says the curator.", None),
+        ("The site's owner left “sample text here” on it for a year, the court heard.", None),
+        ("An error occurred in the count of the votes, and the clerk told the council on Monday that it would be repeated by the end of the month, as the law asks. " + BODY[0] + " " + BODY[1] + " " + BODY[0], None),
+        ("The page you requested could not be found on this server. " + "It may have been moved, or its address may have been mistyped; please check the address and try the search at the top of the page. " * 1, "notice"),
+    ],
+)
+def test_residue_by_structure(text, kind):
+    assert residue(text, False) == kind
