@@ -61,6 +61,37 @@ def test_many_chains_and_passages_at_once():
     assert k in found(" ".join(w[:9] + [x for i in range(12) for x in (*w[20:24], f"q{i}")] + w[22:32]))
 
 
+def test_pieces_of_short_items_and_passages():
+    r = random.Random(5)
+    for n in range(4, 15):
+        for _ in range(40):
+            w = prose(n, r)
+            m = Matcher([(1, " ".join(w))])
+            kept = w if n < 8 else w[(a := r.randrange(n - -(-n // 2) + 1)) : a + -(-n // 2)]
+            bad = list(kept)
+            bad[r.randrange(len(bad))] = "zzz"
+            for passage in (kept, bad):
+                assert m.leaks(" ".join([*prose(20, r), *passage, *prose(20, r)])), (w, passage)
+            if n < 8:
+                assert not m.leaks(" ".join(w[: n // 2])) and not Matcher([(1, " ".join(w[:3]))]).leaks(" ".join([*w[:2], "zzz"]))
+
+
+def test_two_passages_with_errors_at_every_place():
+    r = random.Random(9)
+    missed = tried = 0
+    for n in (14, 18, 24, 32, 40):
+        for _ in range(60):
+            w = prose(n, r)
+            a = r.randrange(2, n // 2 - 1)
+            first, second = w[:a], w[n - (-(-n // 2) - a) :]
+            if r.random() < 0.5:
+                longer = first if len(first) > len(second) else second
+                longer[r.randrange(len(longer))] = "zzz"
+            tried += 1
+            missed += not Matcher([(1, " ".join(w))]).leaks(" ".join([*prose(9, r), *first, *prose(30, r), *second, *prose(9, r)]))
+    assert missed <= 0.1 * tried
+
+
 def test_leaks_agree_in_blocks(spark):
     docs = [(i, " ".join(prose(30)) + " " + ITEMS[i % 30][1]) for i in range(40)] + [(90, None), (91, ""), (92, "x " * 200_000), (1, ITEMS[1][1])]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, item_id int")
