@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.rows import flat_map
+from tallymark.session import cut
 from tallymark.sources.tables import table
 
 # Letters of other scripts and the Latin letters they look like, place by place.
@@ -29,11 +30,25 @@ GREEK_AS = "ABEZHIKMNOPTYXCjivoc"
 LATIN = "ɑɡıʏᴠᴡᴢ‐‑"
 LATIN_AS = "agiyvwz--"
 
+# Letters and marks of further scripts and what they look like, place by place, as in Unicode's confusables.
+GREEK_MORE, GREEK_MORE_AS = "αγρσυ", "aypou"
+CYRILLIC_MORE, CYRILLIC_MORE_AS = "ЬьгѵѴԌԍѡӏӀӔӕ", "bbrvVGgwlIÆæ"
+ARMENIAN, ARMENIAN_AS = "ՍՏՕԼաոսհցզքյօ", "USOLwnuhgqfjo"
+CHEROKEE, CHEROKEE_AS = "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏮᏴ", "DRTiyAJEWMHYGZ4RWSVSLCPKd6B"
+COPTIC, COPTIC_AS = "ⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬⲌ", "HIKMNOoPpCcTYXZ"
+LISU, LISU_AS = "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU"
+LATIN_MORE, LATIN_MORE_AS = "ȷɩɪʋꜱᴄᴏᴜ", "jiiuscou"
+MARKS, MARKS_AS = "․‚∶ʼǃ∕⁄", ".,:’!//"
+
 #: Kinds of compatibility mapping that keep a character's look. Raised, lowered, circled and squared forms don't.
 _ALIKE = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>"}
 _PLANES = (range(0x80, 0x20000), range(0xE0000, 0xE0200))
 
 
+MORE = GREEK_MORE + CYRILLIC_MORE + ARMENIAN + CHEROKEE + COPTIC + LISU + LATIN_MORE + MARKS
+MORE_AS = GREEK_MORE_AS + CYRILLIC_MORE_AS + ARMENIAN_AS + CHEROKEE_AS + COPTIC_AS + LISU_AS + LATIN_MORE_AS + MARKS_AS
+
+
 @cache
 def prototypes() -> dict[int, str | None]:
     """Code point -> what stands for it in a skeleton; None for nothing."""
@@ -52,7 +67,7 @@ def prototypes() -> dict[int, str | None]:
                     made = unicodedata.normalize("NFD", "".join(chr(int(x, 16)) for x in rest.split()))
                     if not made.startswith(" "):
                         out[cp] = made
-    letters = str.maketrans(CYRILLIC + GREEK + LATIN, CYRILLIC_AS + GREEK_AS + LATIN_AS)
+    letters = str.maketrans(CYRILLIC + GREEK + LATIN + MORE, CYRILLIC_AS + GREEK_AS + LATIN_AS + MORE_AS)
     plain = {cp: chr(p) if isinstance(p, int) else p for cp, p in letters.items()}
     return {cp: p if p is None else p.translate(letters) for cp, p in out.items()} | plain
 
@@ -86,7 +101,7 @@ def digests(df: DataFrame) -> DataFrame:
 
 def classes(df: DataFrame) -> DataFrame:
     """One row per (src, key): the class of its skeleton, the class's size and its number of spellings."""
-    d = digests(df)
+    d = cut(digests(df))
     sizes = d.groupBy("src", "skeleton", "string").agg(F.count("*").alias("n")).groupBy("src", "skeleton").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_spellings"))
     return d.join(sizes, ["src", "skeleton"]).select("src", "key", F.hex("skeleton").alias("class_id"), "n_rows", "n_spellings")
 
@@ -95,11 +110,11 @@ def look_alikes(df: DataFrame) -> DataFrame:
     """(src, key, text) -> (src, key_a, key_b): rows whose strings differ but have one skeleton.
 
     Copies of one string never meet each other: spellings are paired first, and their rows are put to
-    them afterwards, so the work is that of the result and of the spellings. A spelling held by a third of
-    all rows is a hot key of the last two joins, whose other side is small: adaptive execution
-    broadcasts or splits it.
+    them afterwards, so the work is that of the result and of the spellings. The result itself is that of all pairs: where two
+    spellings of one text are held by a and b rows it has a times b of them. ``classes`` says the same in one row per row. A spelling
+    held by a third of all rows is a hot key of the last two joins, which adaptive execution broadcasts or splits.
     """
-    d = digests(df)
+    d = cut(digests(df))  # keys and digests, written once: skeletons are made once
     several = d.groupBy("src", "skeleton").agg(F.min("string").alias("_a"), F.max("string").alias("_b")).where("_a <> _b").select("src", "skeleton")
     rows = d.join(several, ["src", "skeleton"], "left_semi")
     spelt = rows.select("src", "skeleton", "string").distinct()

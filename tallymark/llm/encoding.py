@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.confusables import CYRILLIC_AS, GREEK_AS, prototypes
+from tallymark.llm.confusables import CYRILLIC_AS, GREEK_AS, MORE, prototypes
 from tallymark.llm.rows import first_of_key, flat_map
 from tallymark.sources.tables import table
 
@@ -82,7 +82,7 @@ SHARED = frozenset(CYRILLIC_AS + GREEK_AS)
 
 def _script(c: str) -> str:
     """The script of a letter; nothing for letters that two scripts share by their look."""
-    if c in SHARED or (prototypes().get(ord(c)) or "\0").isascii() and ord(c) in prototypes():
+    if c in SHARED or c not in MORE and (prototypes().get(ord(c)) or "\0").isascii() and ord(c) in prototypes():
         return ""
     return unicodedata.name(c, "?").partition(" ")[0]
 
@@ -125,7 +125,7 @@ def _one_byte_latin(add) -> None:
         for reading in READ_AS:
             for c in dict.fromkeys(LATIN_SMALL + LATIN_SMALL.upper() + MARKS):
                 b = _byte(c, written) if len(c) == 1 else None
-                if b is None or (g := _lenient(b, reading)) == c or not g.isprintable() or (prototypes().get(ord(g), g) or "a")[:1].isascii() or not _seen(g):
+                if b is None or (g := _lenient(b, reading)) == c or not g.isprintable() or g not in MORE and (prototypes().get(ord(g), g) or "a")[:1].isascii() or not _seen(g):
                     continue
                 kind, mark = unicodedata.category(g), c in MARKS
                 if g.isalpha() and kind != "Lo":
