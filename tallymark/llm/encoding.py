@@ -20,6 +20,7 @@ import pickle
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import cache
 from itertools import product
@@ -38,6 +39,7 @@ READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850
 LATIN_WRITTEN = ("cp1252", "cp1250", "mac_roman", "cp437", "cp850")
 CYRILLIC_WRITTEN = ("cp1251", "koi8-r", "cp866", "iso8859-5")
 WIDE_READ = ("cp932", "gbk", "big5", "euc-kr")
+WIDE_WRITTEN = ("gbk", "big5", "cp932", "euc-kr", "euc-jp")
 #: Letters and marks of Latin scripts beyond ASCII, and the twenty most frequent letters of Russian.
 LATIN_SMALL = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœąćęłńśźżčďěňřšťůžăâșțőű"
 MARKS = "“”‘’„–—…«»¡¿"
@@ -51,10 +53,15 @@ OTHER_WRITTEN = {
     "GREEK": (("cp1253", "iso8859-7"), "αοιετσνηυρπκμλςωάόίέ"),
     "HEBREW": (("cp1255", "iso8859-8"), "יוהלאתמרשבנעםדקחפגטז"),
 }
+#: Characters that are common in the scripts above, by which restorations are compared.
+COMMON = "éèàüäöñóíáçã" + MARKS + RUSSIAN_FREQUENT[:10] + "".join(x[:10] for _, x in OTHER_WRITTEN.values()) + "のにはをたがでてとしれさいうかなるるんす" + "的一是不了在人有我他中大来上国日年月本会出生同" + "이다는을의에가고하지"
 #: Characters that UTF-8 writes in two or three bytes; those of four bytes are found by their form.
 SEVERAL_BYTES = ((0x80, 0xD800), (0xF900, 0x10000))
 
-STRONG, RUN, WEAK, LOST, SILENT = 3, 2, 1, 0, -1
+STRONG, RUN, WEAK, LOST, SILENT, TWICE = 3, 2, 1, 0, -1, 4
+#: Kinds of signs that no word has inside it, and those of them that may stand beside a word.
+SIGNS = ("So", "Sm", "Sk", "Sc", "No", "Lm")
+BESIDE_WORDS = "·×°²³¹™®©€£¥¢§¶•±µ"
 
 
 def _lenient(b: bytes, encoding: str) -> str:
@@ -142,11 +149,35 @@ def _one_byte_latin(add) -> None:
                     if mark and g.islower():
                         for x in ".,!?":
                             add(x + g, x + c, WEAK, written, reading)
-                elif kind in ("So", "Sm", "No", "Sc") and not mark:
+                elif (kind in SIGNS or g in "‰†‡") and not mark:
                     for x in ascii_small:
                         add(x + g, x + c, WEAK, written, reading)
                         if c.isupper():
                             add(g + x, c + x, WEAK, written, reading)
+                        else:
+                            add(x.upper() + g, x.upper() + c, WEAK, written, reading)
+
+
+def _signs(add) -> None:
+    """A degree, copyright or list sign, a dot between links and an ellipsis, where they usually stand."""
+    for written in LATIN_WRITTEN:
+        for reading in READ_AS:
+            for c in "°©·…•":
+                b = _byte(c, written)
+                g = _lenient(b, reading) if b else c
+                if g == c or not _seen(g) or g in MARKS:
+                    continue
+                sign = unicodedata.category(g) in ("So", "Sm") and g not in BESIDE_WORDS
+                if c == "°" and sign:
+                    for x in "CF":
+                        add(g + x, c + x, STRONG, written, reading)
+                elif c == "©" and sign:
+                    for x in "12":
+                        add(f"{g} {x}", f"{c} {x}", STRONG, written, reading)
+                elif c == "•" and (sign or g.islower()):
+                    add(f"\n{g} ", f"\n{c} ", TWICE, written, reading)
+                elif c in "·…" and (sign or g.isupper() and _script(g) == "LATIN"):
+                    add(f" {g} ", f" {c} ", TWICE, written, reading)
 
 
 def _one_byte_cyrillic(add) -> None:
@@ -163,7 +194,8 @@ def _one_byte_cyrillic(add) -> None:
                         if not all(map(_seen, g)) or all(x in BESIDE_LETTERS for x in g):
                             continue
                         accents = all(x.isalpha() and unicodedata.name(x, "").startswith("LATIN") for x in g)
-                        if accents or not well_formed(g) and not g[1:].islower():
+                        sign = unicodedata.category(g[0]) in ("So", "Sm", "Sk") and g[0] not in BESIDE_WORDS.replace("®", "")
+                        if accents or not well_formed(g) and (sign or not g[1:].islower()):
                             add(g, a + b + c, STRONG, written, reading)
 
 
@@ -185,6 +217,12 @@ def _read_as_wide(add) -> None:
     kana = [chr(cp) for cp in (*range(0x3041, 0x3094), *range(0x30A1, 0x30FB), 0x3001, 0x3002, 0x30FC)]
     for reading in WIDE_READ:
         for a in kana:
+            try:
+                seen = a.encode("utf-8").decode(reading)
+            except UnicodeDecodeError:
+                seen = ""
+            if len(seen) == 2 and "\uff61" <= seen[1] <= "\uff9f":  # a rare sign before half a width of kana
+                add(seen, a, STRONG, "utf-8", reading)
             for b in kana:
                 seen = (a + b).encode("utf-8").decode(reading, "replace").replace("\ufffd", "")
                 if len(seen) >= 3:
@@ -209,6 +247,7 @@ def automaton() -> ahocorasick.Automaton:
 
     _several_bytes(add)
     _one_byte_latin(add)
+    _signs(add)
     _one_byte_cyrillic(add)
     _one_byte_other(add)
     _read_as_wide(add)
@@ -277,14 +316,38 @@ def _four_bytes(text: str) -> list[tuple[int, int, str, int, str]]:
 _PLAIN = re.compile(r"(?:[\x00-\x7F]|(?<![.,!?])[ßà-öø-ÿ](?![A-Z\x80-\U0010FFFF]))*+")
 
 
-def _run(text: str, at: int) -> str:
-    """The letters in a row around a position."""
-    a = b = at
-    while a and text[a - 1].isalpha():
-        a -= 1
-    while b < len(text) and text[b].isalpha():
-        b += 1
-    return text[a:b] if b - a < 80 else text[at - 1 : at + 1]
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+class _Runs:
+    """The letters in a row around a position, and whether a word could hold them; each run is judged once."""
+
+    def __init__(self, text: str) -> None:
+        self.runs = [(m.start(), m.end(), m[0]) for m in _LETTERS.finditer(text)]
+        self.starts = [a for a, _, _ in self.runs]
+        self.fine: dict[int, bool] = {}
+
+    def well_formed(self, at: int) -> bool:
+        k = bisect_right(self.starts, at) - 1
+        if k < 0 or at >= self.runs[k][1]:
+            return False
+        if k not in self.fine:
+            self.fine[k] = well_formed(self.runs[k][2])
+        return self.fine[k]
+
+
+def _inside_word(text: str, h: tuple) -> bool:
+    """Whether a weak or silent sequence stands where no correct word has it: a sign among letters, a capital behind a small letter."""
+    start, end, _, strength, _ = h
+    if strength == SILENT:
+        return end - start > 1 and text[start].isupper() and text[start - 1 : start].islower() and not text[start].isascii()
+    k = next(i for i in range(start, end) if not text[i].isascii())
+    c, before, after = text[k], text[k - 1 : k], text[k + 1 : k + 3]
+    if unicodedata.category(c) not in SIGNS and c not in "‰†‡" or c in BESIDE_WORDS and c != "±":
+        return False
+    if before.isascii() and before.isalpha():
+        return after[:1].isascii() and after[:1].islower()
+    return (not before or before.isspace()) and len(after) == 2 and after.isascii() and after.isalpha() and after.islower() and unicodedata.category(c) in ("So", "Sm", "Sk")
 
 
 def garbled(text: str) -> list[tuple[int, int, str, int, str]]:
@@ -294,8 +357,9 @@ def garbled(text: str) -> list[tuple[int, int, str, int, str]]:
     found = [(e + 1 - n, e + 1, o, s, p) for e, (n, o, s, p) in _matcher().iter(text)] + _four_bytes(text)
     if any(h[3] == SILENT for h in found):
         edges = {x for h in found if h[3] != SILENT for x in h[:2]}
-        found = [h for h in found if h[3] != SILENT or h[0] in edges or h[1] in edges or not well_formed(_run(text, h[0]))]
-    if any(h[3] == STRONG for h in found):
+        runs = _Runs(text)
+        found = [h for h in found if h[3] != SILENT or h[0] in edges or h[1] in edges or not runs.well_formed(h[0])]
+    if any(h[3] == STRONG or h[3] in (WEAK, SILENT) and _inside_word(text, h) for h in found) or sum(h[3] == TWICE for h in found) > 1:
         return found
     lost = [h for h in found if h[3] == LOST]
     if len(lost) > 1 or lost and text[lost[0][1] :].split("\n")[0].strip(" .…[]()"):
@@ -320,77 +384,139 @@ def main_pair(found: list[tuple[int, int, str, int, str]]) -> str:
     return max(sorted(weight), key=weight.__getitem__)
 
 
-def _runs(token: str) -> list[str]:
-    return "".join(c if c.isalpha() else " " for c in token).split()
+@cache
+def _signs_of(reading: str) -> dict[str, int]:
+    """Sign beyond ASCII -> its byte."""
+    return {_lenient(bytes((b,)), reading): b for b in range(128, 256)}
+
+
+def _redecoded(unit: str, written: str, reading: str) -> str | None:
+    """A piece of text read again in the encoding it was written in; None where its signs or bytes don't allow it."""
+    if reading in WIDE_READ:
+        try:
+            raw = unit.encode(reading)
+        except UnicodeEncodeError:
+            return None
+    else:
+        signs = _signs_of(reading)
+        if any(c not in signs for c in set(unit) if not c.isascii()):
+            return None
+        raw = bytes(signs.get(c) or ord(c) for c in unit)
+    if written in ("utf-8", *WIDE_WRITTEN):
+        try:
+            return raw.decode(written)
+        except UnicodeDecodeError:
+            return None
+    return "".join(chr(b) if b < 128 else _upper_half(written)[b - 128] for b in raw)
 
 
 @cache
-def _back(written: str, reading: str) -> dict[int, str]:
-    """What was read -> what was written, of the signs beyond ASCII."""
-    return str.maketrans({_lenient(bytes((b,)), reading): _lenient(bytes((b,)), written) for b in range(128, 256)})
-
-
-def _reread(text: str, written: str, reading: str) -> str:
-    """Words that aren't well formed are read again in the encoding they were written in, if that makes them so."""
-    table_ = _back(written, reading)
-    parts = re.split(r"([ \t\r\n]+)", text)
-    words = [i for i in range(0, len(parts), 2) if not parts[i].isascii()]
-    bad = {i: any(not well_formed(r) for r in _runs(parts[i])) or any(unicodedata.category(c) in ("So", "Sm", "Sc", "No") for c in parts[i]) for i in words}
-    done: set[int] = set()
-    # Capitals are what a swap of case makes of a sentence: they follow a broken word beside them.
-    for order in (range(len(words)), range(len(words) - 1, -1, -1)):
-        near = False
-        for k in order:
-            i = words[k]
-            if i in done:
-                near = True
-                continue
-            made = parts[i].translate(table_)
-            near = bad[i] or near and (parts[i].isupper() or not _runs(parts[i]))
-            if near and all(well_formed(r) for r in _runs(made)) and not any(unicodedata.category(c) in ("Co", "Cn", "Cc", "So", "Sm") for c in made):
-                parts[i] = made
-                done.add(i)
-    return "".join(parts)
-
-
-def _reread_other(text: str, script: str, written: str, reading: str) -> str:
-    """Words whose characters beyond ASCII all stand for letters and signs of a script are read again."""
-    table_ = _back(written, reading)
-    parts = re.split(r"([ \t\r\n]+)", text)
-    for i in range(0, len(parts), 2):
-        if not parts[i].isascii():
-            made = parts[i].translate(table_)
-            kinds = [unicodedata.name(c, "").startswith(script) for c in made if not c.isascii() and c not in MARKS]
-            if kinds and all(kinds) and not re.search("[A-Za-z]", made):
-                parts[i] = made
-    return "".join(parts)
-
-
-def restore(text: str, rounds: int = 4) -> str:
-    """The text with its garbled spans replaced, one pair of encodings after the other; what was lost stays U+FFFD."""
-    for _ in range(rounds):
-        found = [h for h in garbled(text) if h[3] != LOST]
-        if not found:
-            break
-        written, _, reading = (pair := main_pair(found)).partition(">")
-        if written == "utf-8":
-            out, at = [], 0
-            for start, end, original, _, p in sorted(found, key=lambda h: (h[0], -h[1])):
-                if p == pair and start >= at:
-                    out += [text[at:start], original]
-                    at = end
-            made = "".join(out) + text[at:]
-        elif written in LATIN_WRITTEN and written not in CYRILLIC_WRITTEN:
-            made = _reread(text, written, reading)
-        else:  # other scripts share many sequences: the one whose most frequent letters come out oftenest
-            made = [(RUSSIAN_FREQUENT, _reread(text, w, r)) for w in CYRILLIC_WRITTEN for r in READ_AS if w != r]
-            made += [(RUSSIAN_FREQUENT, _reread_other(text, "CYRILLIC", w, r)) for w in CYRILLIC_WRITTEN for r in READ_AS if w != r]
-            made += [(frequent, _reread_other(text, k, w, r)) for k, (encodings, frequent) in OTHER_WRITTEN.items() for w in encodings for r in READ_AS]
-            made = max(made, key=lambda x: sum(map(x[1].lower().count, x[0][:10])))[1]
-        if made == text:
+def _upper_half(written: str) -> str:
+    return "".join(_lenient(bytes((b,)), written) for b in range(128, 256))
+
+
+@cache
+def _fine_run(run: str) -> bool:
+    return well_formed(run) or all(unicodedata.category(c) in ("Lo", "Lm", "Mn", "Mc") for c in run)
+
+
+_INSIDE = re.compile(r"[^\W_]+")
+_ACCENTS = re.compile(r"[À-ÖØ-öø-ɏ]{3}")
+
+
+def _bad(token: str) -> bool:
+    """Whether no text has this between two spaces: an ill-formed word, three accents in a row, or a sign or control among letters."""
+    if token.isascii():
+        return False
+    if _ACCENTS.search(token):
+        return True
+    if not all(_fine_run(x) for m in _INSIDE.finditer(token) for x in re.findall(r"[^\W\d_]+", m[0])):
+        return True
+    for i, c in enumerate(token):
+        kind = unicodedata.category(c) if not c.isascii() else ""
+        if kind in ("Cc", "Co", "Cn") or kind in SIGNS and c not in BESIDE_WORDS and (token[i - 1 : i].isalpha() or token[i + 1 : i + 2].isalpha()):
+            return True
+    return False
+
+
+def _n_bad(text: str) -> int:
+    return sum(map(_bad, re.split(r"[ \t\r\n]+", text)))
+
+
+def _pieces(text: str, hits: list, written: str, reading: str) -> str:
+    """The lines that hold garbled sequences read again as wholes where that leaves nothing bad, else their bad words alone."""
+    out, at, marked = [], 0, [h[:2] for h in hits]
+    starts = sorted(marked)
+    for line in text.split("\n"):
+        end = at + len(line)
+        k = bisect_right(starts, (end, end))
+        touched = k > 0 and starts[k - 1][1] > at or not line.isascii() and _n_bad(line) > 0
+        made = _redecoded(line, written, reading) if touched else None
+        if made is not None and (written == "utf-8" or not _n_bad(made)) and "\n" not in made:
+            out.append(made)
+        elif touched:
+            inside = {x for a, b in starts if a < end and b > at for x in range(a - at, b - at)} if written == "utf-8" else set()
+            words, here = [], 0
+            for w in re.split(r"([ \t\r]+)", line):
+                wanted = not inside.isdisjoint(range(here, here + len(w))) or _bad(w)
+                again = _redecoded(w, written, reading) if wanted else None
+                words.append(again if again is not None and (written == "utf-8" or not _bad(again)) else w)
+                here += len(w)
+            out.append("".join(words))
+        else:
+            out.append(line)
+        at = end + 1
+    return "\n".join(out)
+
+
+def _spans(text: str, hits: list, pair: str) -> str:
+    """The matched sequences of one pair replaced, and nothing else."""
+    out, at = [], 0
+    for start, end, original, _, p in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if p == pair and start >= at:
+            out += [text[at:start], original]
+            at = end
+    return "".join(out) + text[at:]
+
+
+def _common(text: str) -> int:
+    low = text.lower()
+    return sum(map(low.count, COMMON))
+
+
+def _score(text: str) -> tuple[int, int]:
+    return _n_bad(text), -_common(text)
+
+
+def _restored_once(text: str, hits: list) -> str:
+    pair = main_pair(hits)
+    written, _, reading = pair.partition(">")
+    if written == "utf-8":
+        made = _pieces(text, hits, written, reading)
+        left = [h for h in garbled(made) if h[4] == pair and h[3] != LOST]
+        return _spans(made, left, pair) if left else made
+    # Encodings of one byte share many sequences: the pair that leaves the fewest bad words and the commonest letters.
+    tried = {h[4]: None for h in hits if not h[4].startswith(("utf-8", "?"))}
+    tried |= {f"{w}>{r}": None for w in (*CYRILLIC_WRITTEN, *(w for e, _ in OTHER_WRITTEN.values() for w in e)) for r in READ_AS if w != r}
+    best = min((_pieces(text, hits, *p.split(">")) for p in tried), key=_score)
+    return best if best != text and _score(best) < _score(text) else _spans(text, hits, pair)
+
+
+def restore(text: str) -> str:
+    """The text with what was garbled read again, one pair of encodings after the other; what was lost stays U+FFFD."""
+    first, seen, made = None, set(), text
+    while made not in seen:
+        seen.add(made)
+        hits = [h for h in garbled(made) if h[3] != LOST]
+        if not hits:
             break
-        text = made
-    return text
+        first = first or hits
+        made = _restored_once(made, hits)
+    if not first or not _n_bad(made):
+        return made
+    # Bytes of two-byte encodings look like others' by chance: they are asked last, and must leave nothing bad.
+    wide = [_pieces(text, first, w, r) for w in WIDE_WRITTEN for r in ("cp1252", "latin-1")]
+    return min([made, *(x for x in wide if not _n_bad(x))], key=_score)
 
 
 def _found(key: int, text: str):
@@ -422,7 +548,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Garbled fetch results with their restored text; the newest of rows sent again."""
+    """Garbled fetch results with their restored text; rows sent again once."""
     return first_of_key(restored(table(spark, sf_dir, "fetch_results"), "fetch_id", "text"), "fetch_id")
 
 

@@ -82,3 +82,31 @@ def test_other_one_byte_scripts(text, written, reading):
 def test_correct_text_of_other_scripts_stays():
     for t in ("“Ё-моё…” сказал он. Ёлка и Їжак, надії…", "Đorđe “…” reče", "ação, coração, às “três”", "Η άνοιξη είναι εδώ", "การประชุม", "😀 🇩🇪 fine", "Почему договор\xa0№\xa082 не опубликован?"):
         assert not garbled(t), t
+
+RU = "Комиссия отклонила проект, но город продолжает работы. «Мы проверили всё», — заявил представитель порта."
+EL = "Η επιτροπή απέρριψε το σχέδιο, αλλά ο δήμος συνεχίζει τις εργασίες στο λιμάνι."
+ZH = "委员会否决了方案；城市仍在继续施工。我们检查过了。没有问题。"
+JA = "委員会は案を否決した。故障は予想外だ。原因は分からない。港の倉庫は閉鎖されました。"
+DE = "Für die Straße zahlte die Gemeinde viel. Die Räume müssen geschlossen bleiben, erklärte die Behörde."
+
+
+@pytest.mark.parametrize(
+    ("text", "written", "reading"),
+    [(RU, "utf-8", "cp1252"), (RU, "cp1251", "cp1252"), (RU[:64].replace("«", ""), "koi8-r", "cp1251"), (EL, "cp1253", "cp1252"), (EL, "utf-8", "cp437"), (ZH, "gbk", "cp1252"), (ZH, "utf-8", "latin-1"), (JA, "cp932", "cp1252"), (JA, "utf-8", "cp1252"), (DE, "utf-8", "cp1250"), (DE, "cp1252", "mac_roman"), (DE, "cp1252", "cp437")],
+)
+def test_whole_texts_come_back(text, written, reading):
+    seen = _lenient(text.encode(written), reading)
+    assert garbled(seen) and restore(seen) == text
+    # Beside correct lines only the garbled ones change.
+    beside = "Ein Café in Zürich öffnet früh.\n"
+    assert restore(beside + seen).startswith(beside) and not garbled(beside)
+
+
+@pytest.mark.parametrize("text", ["a F‰lle b", "the heat reached 41 ░C, the", "⌐ 2017 Post", "Home ∑ News ∑ Jobs", "Am 1. Mai ÷ffnet das Archiv", "Im Jahr 1999 ĂĽberprĂĽft", "その後 縺ｮ2015"])
+def test_signs_inside_words(text):
+    assert garbled(text)
+
+
+@pytest.mark.parametrize("text", ["a sum ∑ b", "Foo™ and Bar® at 5 €", "±5 and 90°N", "ISO™bar", "l·l", "Ö och å", "¿Qué? ¡No!", "m² × 3", "Then … after", "A • B • C", "• One\n• Two", "100‰ of it", "Ångström ≈ ten", "naïve façade, œuvre"])
+def test_signs_rightly_there(text):
+    assert not garbled(text)
