@@ -54,7 +54,7 @@ OTHER_WRITTEN = {
     "HEBREW": (("cp1255", "iso8859-8"), "יוהלאתמרשבנעםדקחפגטז"),
 }
 #: Characters that are common in the scripts above, by which restorations are compared.
-COMMON = "éèàüäöñóíáçã" + MARKS + RUSSIAN_FREQUENT[:10] + "".join(x[:10] for _, x in OTHER_WRITTEN.values()) + "のにはをたがでてとしれさいうかなるるんす" + "的一是不了在人有我他中大来上国日年月本会出生同" + "이다는을의에가고하지"
+COMMON = "éèàüäöñóíáçã·•°©" + MARKS + RUSSIAN_FREQUENT[:10] + "".join(x[:10] for _, x in OTHER_WRITTEN.values()) + "のにはをたがでてとしれさいうかなるるんす" + "的一是不了在人有我他中大来上国日年月本会出生同" + "이다는을의에가고하지"
 #: Characters that UTF-8 writes in two or three bytes; those of four bytes are found by their form.
 SEVERAL_BYTES = ((0x80, 0xD800), (0xF900, 0x10000))
 
@@ -516,7 +516,7 @@ def restore(text: str) -> str:
         return made
     # Bytes of two-byte encodings look like others' by chance: they are asked last, and must leave nothing bad.
     wide = [_pieces(text, first, w, r) for w in WIDE_WRITTEN for r in ("cp1252", "latin-1")]
-    return min([made, *(x for x in wide if not _n_bad(x))], key=_score)
+    return min([made, *(x for x in wide if not _n_bad(x) and 10 * _common(x) >= sum(not c.isascii() for c in x))], key=_score)
 
 
 def _found(key: int, text: str):
