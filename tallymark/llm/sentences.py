@@ -309,7 +309,8 @@ def _units(src: str, key: int, text: str):
 
 def sentence_spans(df: DataFrame) -> DataFrame:
     """(src, row_id, text) -> (src, row_id, start_pos, end_pos), each once."""
-    rows = df.where("text is not null and row_id is not null").select("src", "row_id", "text").distinct()
+    # Rows sent again are split again and meet in the result, so that no text is shuffled.
+    rows = df.where("text is not null and row_id is not null").select("src", "row_id", "text")
     return flat_map(rows, _found, "src string, row_id bigint, start_pos int, end_pos int", sent(df.sparkSession)).distinct()
 
 

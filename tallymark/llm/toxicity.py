@@ -15,6 +15,7 @@ evenly are not used; repeated labels and rows don't matter beyond their votes; l
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from functools import lru_cache
@@ -22,14 +23,15 @@ from functools import lru_cache
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymark.llm.confusables import skeleton
 from tallymark.llm.rows import flat_map
 from tallymark.sources.tables import table
 
-#: Labelled documents the models are fitted on, at most; chosen by a hash of their ids.
-SAMPLE_DOCUMENTS = 9_000
+#: Labelled documents the models are fitted on, at most, and their words in all; chosen in the order of a hash of their ids.
+SAMPLE_DOCUMENTS, SAMPLE_WORDS = 9_000, 8_000_000
 #: Windows of clean documents in a fit, at most: those nearest to toxic ones and a hashed rest.
 CLEAN_WINDOWS = 20_000
 WINDOW, STEP = 10, 2
@@ -167,7 +169,11 @@ def _stack(docs: list, chosen: list[tuple[int, int]]) -> tuple[np.ndarray, np.nd
 
 def fit_chain(texts: list[str], labels: list[str]) -> Chain:
     """Fits the chain on documents with one label each (``none`` or a category)."""
-    docs = [features(t) for t in texts]
+    return fit_features([features(t) for t in texts], labels)
+
+
+def fit_features(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) -> Chain:
+    """``fit_chain`` for the hashed words and pairs of the documents."""
     keep = [i for i, d in enumerate(docs) if len(d[0])]
     docs, labels = [docs[i] for i in keep], [labels[i] for i in keep]
     toxic = np.array([x != "none" for x in labels], dtype=bool)
@@ -254,13 +260,30 @@ def judged(labels: DataFrame) -> DataFrame:
     )
 
 
-def fitted(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCUMENTS) -> Chain:
-    """The chain fitted on at most ``most`` labelled documents."""
-    # The sample is bounded by ``most`` rows, so it may be broadcast to the documents and collected.
-    sample = judged(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").collect()
-    rows = sorted({r.doc_id: r for r in rows}.values(), key=lambda r: r.doc_id)
-    return fit_chain([r.text for r in rows], [r.label for r in rows])
+_fits: dict[tuple[str, str], Chain] = {}
+
+
+def _hashed(doc_id: int, text: str, label: str):
+    words, pairs = features(text)
+    yield doc_id, label, len(words), words.tobytes(), pairs.tobytes()
+
+
+def fitted(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCUMENTS, most_words: int = SAMPLE_WORDS) -> Chain:
+    """The chain fitted on at most ``most`` labelled documents of at most ``most_words`` words; one fit per application and sample.
+
+    Texts stay on the executors: the driver gets their hashed words and pairs, eight bytes for a word.
+    """
+    # The sample is bounded by ``most`` rows, so it may be broadcast to the documents and ordered in one task.
+    order = F.xxhash64("doc_id")
+    sample = judged(labels).orderBy(order, "doc_id").limit(most)
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = flat_map(rows, _hashed, "doc_id bigint, label string, n int, words binary, pairs binary").dropDuplicates(["doc_id"])
+    rows = rows.withColumn("upto", F.sum("n").over(W.orderBy(order, "doc_id"))).where(F.col("upto") <= most_words).drop("upto")
+    rows = sorted(rows.collect(), key=lambda r: r.doc_id)
+    key = (documents.sparkSession.sparkContext.applicationId, hashlib.sha256(repr([(r.doc_id, r.label) for r in rows]).encode() + b"".join(r.words for r in rows)).hexdigest())
+    if key not in _fits:
+        _fits[key] = fit_features([(np.frombuffer(r.words, np.int32), np.frombuffer(r.pairs, np.int32)) for r in rows], [r.label for r in rows])
+    return _fits[key]
 
 
 def scored(documents: DataFrame, chain: Chain) -> DataFrame:
