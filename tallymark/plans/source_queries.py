@@ -148,7 +148,35 @@ _SCHEME = "lower(regexp_extract(coalesce({0}, ''), '^\\s*([A-Za-z][A-Za-z0-9+.\\
 _HOST = "lower(regexp_replace(regexp_extract(coalesce({0}, ''), '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)', 1), '\\.+$|[\\[\\]]', '', 'g'))"
 _PLAIN = "regexp_replace(regexp_replace({0}, '#.*$', ''), '/+$', '')"
 
+# Marks of a word's inside and outside that hold for all scripts, as DuckDB's own boundary is that of ASCII.
+_WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ON, _OFF = r"[\p{L}\p{N}\p{M}\p{Pc}]", r"[^\p{L}\p{N}\p{M}\p{Pc}]"
+_DIGITS = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
+_SCALE = "case lower({0}) " + " ".join(f"when '{k}' then '{v}'" for k, v in T.SCALES.items()) + " end"
+# A letter that its word goes on behind, in other letters than ASCII ones, is marked, so that a unit ends at its word's end.
+_MARKED = r"regexp_replace(coalesce({0}, ''), '([A-Za-z])([0-9_]|[^\x00-\x7F\p{{Z}}\p{{P}}\p{{S}}\p{{C}}]|[^\x00-\x7F\P{{Pc}}])', '\1' || chr(1) || '\2', 'g')"
+_FLAT = r"regexp_replace(regexp_replace(coalesce({0}, ''), '[^\x00-\x7F\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]', '.', 'g'), '[^\x00-\x7F]', '_', 'g')"
+_ABBREVIATED = r"'(^|" + _OFF + r")(Mr|Ms|Dr|St|Mrs|Prof|[A-Z])\.', '\1\2' || chr(1), 'g'"
+_SHIELDED = f"regexp_replace(regexp_replace(coalesce({{0}}, ''), {_ABBREVIATED.replace('{', '{{').replace('}', '}}')}), {_ABBREVIATED.replace('{', '{{').replace('}', '}}')})"
+_PARTS = "string_split(regexp_replace(" + _SHIELDED + r""", '([.!?]["'')\]]*)[ \t\n\x0b\f\r]+(["''(\[]*[A-Z])', '\1' || chr(2) || '\2', 'g'), chr(2))"""
+_HEDGED = r"may|might|could|would|should|perhaps|possibly|likely|probably|i think|we think|in my (?:view|opinion)|arguably|seems?|appears?"
+_TAGS = rf"""[x for x in [
+  case when regexp_matches(t, '\p{{Nd}}') then 'number' end,
+  case when regexp_matches(t, '["“”''‘’]') then 'quotation' end,
+  case when regexp_matches(t, '(?s)(?:(?:^|[^.!?])[ \t\n\x0b\f\r]|[^\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}\s\x0b])[A-Z][a-zA-Z0-9]{{2,}}(?:$|{_OFF})') then 'proper-noun' end,
+  case when regexp_matches(t, '(?i)(?:^|{_OFF})(?:{_HEDGED})(?:$|{_OFF})') then 'hedged' end] if x is not null]"""
+
 SQL = {
+    "quantities_in_docs": rf"""with q as (select doc_id, unnest(regexp_extract_all({_MARKED.format("text")}, '{_DIGITS}{_WS}*(?:%|[A-Za-z]+\x01?)')) as m from documents),
+      u as (select doc_id, {_NORM.format(f"regexp_extract(m, '^{_DIGITS}')")} as number, {_SCALE.format("regexp_extract(m, '(%|[A-Za-z]+)$', 1)")} as scale from q where m not like '%' || chr(1))
+      select distinct doc_id, number || ' ' || scale as quantity from u where scale is not null""",
+    "identifiers_in_docs": rf"""select distinct doc_id, identifier from (select doc_id, unnest(regexp_extract_all({_FLAT.format("text")}, '\b[A-Z][a-z]+ [A-Z]\b')) as identifier from documents) where identifier not like '% I'""",
+    "sentence_breaks": f"select claim_key, len({_PARTS.format('claim')})::int as n_sentences from claims",
+    "number_context_windows": rf"""with s as (select claim_key, unnest({_PARTS.format("claim")}) as s from claims), t as (select claim_key, regexp_extract_all(s, '{_DIGITS}|[A-Za-z][A-Za-z'']*') as w from s),
+      i as (select claim_key, w, unnest(range(1, len(w) + 1)) as i from t)
+      select claim_key, {_NORM.format("w[i]")} as number, array_to_string([x for x in list_concat(w[greatest(i - 4, 1) : i - 1], w[i + 1 : i + 4]) if regexp_matches(x, '^[A-Za-z]')], ' ') as near from i where regexp_matches(w[i], '^\p{{Nd}}')""",
+    "claim_salience": f"""with c as (select claim_key, {_TAGS} as tags from (select claim_key, coalesce(claim, '') as t from claims))
+      select claim_key, coalesce(list_sum([case x when 'number' then 3 when 'quotation' then 2 when 'proper-noun' then 1 else -2 end for x in tags]), 0)::int as salience, array_to_string(tags, ',') as tags from c""",
     "words_per_doc": f"with d as (select doc_id, {_W.format('text')} as w from documents) select doc_id, len(w)::int as n_words, len(list_distinct(w))::int as n_distinct, len({_DIST})::int as n_distinctive from d",
     "distinct_ngrams": f"with d as (select doc_id, {_W.format('text')} as w from documents) select doc_id, len({_BI})::int as n_bigrams, len({_TRI})::int as n_trigrams from d",
     "numbers_in_docs": f"select distinct doc_id, {_NORM.format('n')} as number from (select doc_id, unnest(regexp_extract_all(text, '[\\p{{Nd}}]+(?:[.,][\\p{{Nd}}]+)*')) as n from documents)",
