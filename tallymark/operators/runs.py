@@ -4,16 +4,49 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.operators.sources import check_sources
+
+_RESULT = "index:int,id:string,claim:string,source_url:string,tier:string,note:string,quoted:double,topical:double,line:int,bucket:string"
 BATCH, FIRST_LINKS = 8, 25
 
 
-def drift(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(index, id, old_tier, new_tier) of the rows whose tier changed, matched by place, null unlike any tier."""
-    o = old.select("index", F.col("id"), F.col("tier").alias("old_tier"))
-    return o.join(new.select("index", F.col("tier").alias("new_tier")), "index").where(~F.col("old_tier").eqNullSafe(F.col("new_tier")))
+def drift(old: DataFrame, new: DataFrame, *, by: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
+    """(*by, index, id, old_tier, new_tier, in_old, in_new) of the rows whose tier changed, matched by place, null unlike any tier.
+
+    Runs of one document have equally many rows: where one side lacks a place, a strict comparison fails, the other reports it.
+    """
+    key = [*by, "index"]
+    o = old.select(*key, F.col("id").alias("_a"), F.col("tier").alias("old_tier"), F.lit(True).alias("in_old"))
+    n = new.select(*key, F.col("id").alias("_b"), F.col("tier").alias("new_tier"), F.lit(True).alias("in_new"))
+    j = o.join(n, key, "full").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_old", "in_new")})
+    if strict:
+        gap = F.raise_error(F.concat(F.lit("runs differ in length at index "), F.col("index").cast("string")))
+        j = j.withColumn("in_old", F.when(F.col("in_old") & F.col("in_new"), True).otherwise(gap.cast("boolean")))
+    changed = (F.col("in_old") != F.col("in_new")) | ~F.col("old_tier").eqNullSafe(F.col("new_tier"))
+    return j.where(changed).select(*key, F.coalesce("_a", "_b").alias("id"), "old_tier", "new_tier", "in_old", "in_new")
+
+
+def stored_run(spark: SparkSession, path: str) -> DataFrame:
+    """(document, index, id, claim, source_url, tier, bucket, line) of stored runs, JSON files of one run each.
+
+    A result without id, claim, source_url or tier is an error: a run that can't be checked again must not pass for one.
+    """
+    runs = spark.read.option("multiLine", True).schema(f"document string, checked_at string, results array<struct<{_RESULT}>>").json(path)
+    r = runs.select("document", F.posexplode_outer("results").alias("place", "r")).where("place is not null")
+    lacks = [F.when(F.col(f"r.{c}").isNull(), F.lit(c)) for c in ("id", "claim", "source_url", "tier")]
+    wrong = F.concat_ws(", ", *lacks)
+    problem = F.raise_error(F.concat(F.lit("stored result "), F.col("place").cast("string"), F.lit(" of "), F.coalesce("document", F.lit("a run")), F.lit(" lacks "), wrong))
+    checked = F.when(wrong == "", F.col("r.tier")).otherwise(problem.cast("string"))
+    return r.select("document", F.coalesce("r.index", "place").alias("index"), "r.id", "r.claim", "r.source_url", checked.alias("tier"), "r.bucket", "r.line")
+
+
+def recheck(stored: DataFrame, pages: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The stored run's claims checked again against the pages of today: the rows whose tier changed."""
+    again = check_sources(stored.drop("tier"), pages, snapshots)
+    return drift(stored, again, by=("document",))
 
 
 def batches(df: DataFrame, size: int = BATCH) -> DataFrame:

@@ -31,16 +31,15 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf_dir: str, no: str) -> DataFrame:
-    r = table(spark, sf_dir, "recheck").where("id is not null and document = 'weekly-brief.md'")
-    edge = r.agg(getattr(F, no)("snapshot_no").alias("_no"))
-    r = r.join(F.broadcast(edge), F.col("snapshot_no") == F.col("_no"))  # one row
-    one = r.groupBy("row_index").agg(F.max(F.struct("checked_at", "id", "tier")).alias("t"))
-    return one.select(F.col("row_index").alias("index"), "t.id", "t.tier")
+    r = table(spark, sf_dir, "recheck", "snapshot_no", "document", "row_index", "checked_at", "id", "tier").where("id is not null and snapshot_no is not null")
+    edge = r.groupBy("document").agg(getattr(F, no)("snapshot_no").alias("snapshot_no"))
+    one = r.join(edge, ["document", "snapshot_no"], "left_semi").groupBy("document", "row_index").agg(F.max(F.struct("checked_at", "id", "tier")).alias("t"))
+    return one.select("document", F.col("row_index").alias("index"), "t.id", "t.tier")
 
 
 def run_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weekly brief's last run against its first, by place."""
-    return runs.drift(_run(spark, sf_dir, "min"), _run(spark, sf_dir, "max"))
+    """Every document's last run against its first, by place; the runs of these tables differ in length."""
+    return runs.drift(_run(spark, sf_dir, "min"), _run(spark, sf_dir, "max"), by=("document",), strict=False)
 
 
 def claim_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +70,15 @@ def throttle_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.round(F.col("starts") * 1000).cast("bigint").alias("starts_ms"))
 
 
-_BRIEF = "select row_index, checked_at, id, tier, snapshot_no from recheck where id is not null and document = 'weekly-brief.md'"
-_TOP = "qualify row_number() over (partition by row_index order by checked_at desc nulls last, id desc, tier desc nulls last) = 1"
+_RUNS = "select document, row_index, checked_at, id, tier, snapshot_no from recheck where id is not null and snapshot_no is not null"
+_TOP = "qualify row_number() over (partition by document, row_index order by checked_at desc nulls last, id desc, tier desc nulls last) = 1"
 SQL = {
     "draft_first_links": "select document, source_url, first from (select document, source_url, min(line) as first from pairs group by all) qualify row_number() over (partition by document order by first nulls first, source_url nulls first) <= 25",
     "duplicate_ids": "select id, count(*) as n, min(claim_key) as first from claims where id is not null group by id having count(*) > 1",
-    "run_drift": f"""with b as ({_BRIEF}), o as (select * from b where snapshot_no = (select min(snapshot_no) from b) {_TOP}), n as (select * from b where snapshot_no = (select max(snapshot_no) from b) {_TOP})
-      select o.row_index as index, o.id, o.tier as old_tier, n.tier as new_tier from o join n using (row_index) where o.tier is distinct from n.tier""",
+    "run_drift": f"""with b as ({_RUNS}), e as (select document, min(snapshot_no) as first, max(snapshot_no) as last from b group by document),
+      o as (select b.* from b join e using (document) where snapshot_no = first {_TOP}), n as (select b.* from b join e using (document) where snapshot_no = last {_TOP})
+      select coalesce(o.document, n.document) as document, coalesce(o.row_index, n.row_index) as index, coalesce(o.id, n.id) as id, o.tier as old_tier, n.tier as new_tier, o.snapshot_no is not null as in_old, n.snapshot_no is not null as in_new
+      from o full join n on o.document = n.document and o.row_index = n.row_index where o.snapshot_no is null or n.snapshot_no is null or o.tier is distinct from n.tier""",
     "claim_batches": "select (claim_key // 8)::int as batch, count(*) as n from claims group by 1",
     "cache_keys": "select distinct kind, url, sha256(kind || chr(10) || url) as cache_key from page_cache",
     "cacheable_fetches": "select distinct fetch_id, url from fetch_results where not coalesce(blocked, false) and not coalesce(transient, false)",
