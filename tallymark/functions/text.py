@@ -64,6 +64,12 @@ def ngrams(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def hashed_ngrams(w: Column, n: int) -> Column:
+    """``ngrams`` as 64-bit hashes: a run of n words is the hash of the words in their order."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+    return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+
 def normal_number(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, ",", ""), r"\.0+$", "")
 

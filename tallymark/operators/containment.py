@@ -1,7 +1,8 @@
 """Is a claim contained in a page? Features of each side once, set algebra on the joined pair, then the tier.
 
 Page features are made once per page, not per claim; the word array is referenced by several features, so
-the optimiser keeps it as a column of its own.
+the optimiser keeps it as a column of its own. Words and runs of words are 64-bit hashes on both sides, so what goes through an
+exchange with an address is a few bytes for each, not the text.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ def claim_features(df: DataFrame, claim: str = "claim") -> DataFrame:
     c = F.col(claim)
     return (
         df.withColumn("c_words", T.words(c))
-        .withColumn("c_tri", T.ngrams(F.col("c_words"), 3))
-        .withColumn("c_bi", T.ngrams(F.col("c_words"), 2))
-        .withColumn("c_distinctive", T.distinctive(F.col("c_words")))
+        .withColumn("c_tri", T.hashed_ngrams(F.col("c_words"), 3))
+        .withColumn("c_bi", T.hashed_ngrams(F.col("c_words"), 2))
+        .withColumn("c_distinctive", F.transform(T.distinctive(F.col("c_words")), lambda w: F.xxhash64(w)))
         .withColumn("c_numbers", T.numbers(c))
         .withColumn("c_quantities", T.quantities(c))
         .withColumn("c_identifiers", T.letter_identifiers(c))
@@ -41,15 +42,14 @@ def claim_features(df: DataFrame, claim: str = "claim") -> DataFrame:
 
 
 def page_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces the text by p_chars, p_words (distinct), p_tri, p_bi, p_joined, p_numbers, p_quantities, p_windows."""
+    """Replaces the text by p_chars, p_words, p_bi, p_tri (distinct hashes), p_numbers, p_quantities, p_windows."""
     t = F.col(text)
     return (
         df.withColumn("_w", T.words(t))
         .withColumn("p_chars", T.stripped_length(t))
-        .withColumn("p_tri", T.ngrams(F.col("_w"), 3))
-        .withColumn("p_bi", T.ngrams(F.col("_w"), 2))
-        .withColumn("p_joined", F.concat(F.lit(" "), F.concat_ws(" ", "_w"), F.lit(" ")))
-        .withColumn("p_words", F.array_distinct("_w"))
+        .withColumn("p_tri", T.hashed_ngrams(F.col("_w"), 3))
+        .withColumn("p_bi", T.hashed_ngrams(F.col("_w"), 2))
+        .withColumn("p_words", T.hashed_ngrams(F.col("_w"), 1))
         .withColumn("p_numbers", T.numbers(t))
         .withColumn("p_quantities", T.quantities(t))
         .withColumn("p_windows", T.number_windows(t))
@@ -71,9 +71,11 @@ def signals(df: DataFrame) -> DataFrame:
 def missing_specifics() -> Column:
     """Numbers, quantities, identifiers and names of the claim that the page lacks, in this order."""
     absent = lambda a, b: F.array_sort(F.array_except(a, b))
-    identifiers = F.array_sort(F.filter("c_identifiers", lambda x: ~F.contains(F.col("p_joined"), F.concat(F.lit(" "), F.lower(x), F.lit(" ")))))
+    # An identifier is two words: a run of two of the page.
+    pair = lambda x: F.xxhash64(*[F.element_at(F.split(F.lower(x), " "), k) for k in (1, 2)])
+    identifiers = F.array_sort(F.filter("c_identifiers", lambda x: ~F.array_contains("p_bi", pair(x))))
     before = F.concat(absent("c_numbers", "p_numbers"), absent("c_quantities", "p_quantities"), identifiers)
-    lost = F.filter("c_names", lambda n: ~F.array_contains(F.col("p_words"), F.lower(n)))
+    lost = F.filter("c_names", lambda n: ~F.array_contains("p_words", F.xxhash64(F.lower(n))))
     return F.concat(before, F.array_except(lost, before))
 
 

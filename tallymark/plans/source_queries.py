@@ -82,6 +82,11 @@ def claim_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_sources(c, pages(spark, sf_dir), snapshots(spark, sf_dir)).drop("claim", "source_url")
 
 
+def source_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which branch of the decision tree each claim's source takes, and against what it is checked."""
+    return claim_tiers(spark, sf_dir).select("claim_key", "branch", "checked_against", "http_status", "offline_miss")
+
+
 def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.tier_counts(claim_tiers(spark, sf_dir))
 
@@ -146,6 +151,7 @@ _PAGES = """select * from fetch_results where url is not null qualify row_number
   order by fetched_at desc nulls last, ingested_at desc nulls last, fetch_id desc nulls last) = 1"""
 _SCHEME = "lower(regexp_extract(coalesce({0}, ''), '^\\s*([A-Za-z][A-Za-z0-9+.\\-]*):', 1))"
 _HOST = "lower(regexp_replace(regexp_extract(coalesce({0}, ''), '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)', 1), '\\.+$|[\\[\\]]', '', 'g'))"
+_STRIPPED = "length(regexp_replace(coalesce({0}, ''), '^[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+|[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+$', '', 'g'))"
 _PLAIN = "regexp_replace(regexp_replace({0}, '#.*$', ''), '/+$', '')"
 
 # Marks of a word's inside and outside that hold for all scripts, as DuckDB's own boundary is that of ASCII.
@@ -190,14 +196,27 @@ SQL = {
       select claim_key, scheme, host, scheme in ('http', 'https') and host <> '' as is_web,
              list_extract([d for d in {list(urls.BOT_WALLED)} if host = d or ends_with(host, '.' || d)], 1) as walled,
              case when host in ('reddit.com', 'www.reddit.com') then regexp_replace(source_url, '^(\\s*[A-Za-z]+://)(?:[^/?#@]*@)?[^/?#:]+', '\\1old.reddit.com') else source_url end as fetch_url from u""",
+    "source_branches": f"""with p as ({_PAGES}), look as (select url, data.extra['snapshot_url'] as snapshot from page_cache where kind = 'wayback' and url is not null qualify row_number() over (partition by url order by stored_at desc nulls last, cache_id desc nulls last) = 1),
+      arch as (select look.url, g.status as a_status, g.text as a_text, g.kind as a_kind from look join (select url, data.status as status, data.text as text, data.kind as kind from page_cache where kind = 'page' and url is not null
+        qualify row_number() over (partition by url order by stored_at desc nulls last, cache_id desc nulls last) = 1) g using (url)),
+      u as (select claim_key, source_url, {_SCHEME.format('source_url')} as scheme, {_HOST.format('source_url')} as host from claims),
+      c as (select claim_key, source_url, scheme in ('http', 'https') and host <> '' as web, list_extract([d for d in {list(urls.BOT_WALLED)} if host = d or ends_with(host, '.' || d)], 1) is not null as walled,
+        case when host in ('reddit.com', 'www.reddit.com') then regexp_replace(source_url, '^(\\s*[A-Za-z]+://)(?:[^/?#@]*@)?[^/?#:]+', '\\1old.reddit.com') else source_url end as fetch_url from u),
+      j as (select c.*, p.url is not null as there, p.blocked, p.status, p.kind, p.text, a_status < 400 as archived, coalesce(a_text, '') <> '' as a_has, a_kind, p.status is null or p.status >= 400 as failed from c left join p on c.web and p.url = c.fetch_url left join arch on arch.url = c.source_url),
+      k as (select *, not failed and coalesce(kind in ('pdf', 'binary'), false) as unreadable, {_STRIPPED.format('text')} < 200 as short from j),
+      b as (select *, case when not web then 'invalid' when coalesce(blocked, false) then 'blocked' when not there then 'offline'
+        when (failed or not unreadable and short) and archived and a_has then 'archive' when failed and archived and a_kind in ('pdf', 'binary') then 'dead_archive' when status = 429 then 'rate_limited'
+        when walled and (status in (403, 429) or status = 200 and length(trim(lower(coalesce(text, '')))) <= 200 and (lower(text) like '%{urls.CHALLENGES[0]}%' or lower(text) like '%{urls.CHALLENGES[1]}%')) then 'walled'
+        when failed then 'failed' when unreadable then 'unreadable' else 'live' end as branch from k)
+      select claim_key, branch, case branch when 'archive' then 'wayback' when 'live' then 'live' else 'none' end as checked_against, case when web then status end as http_status, web and not there as offline_miss from b""",
     "link_status_counts": f"""with p as ({_PAGES}) select case when coalesce(blocked, false) then 'refused' when status is null then 'dead' when status in (401, 403, 429) then 'walled'
       when status >= 400 then 'dead' when final_url is not null and final_url <> '' and {_PLAIN.format('url')} <> {_PLAIN.format('final_url')} then 'redirected' else 'ok' end as link_status, count(*) as n from p group by 1""",
-    "thin_pages": f"with p as ({_PAGES}) select url, length(regexp_replace(coalesce(text, ''), '^[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+|[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+$', '', 'g')) < 200 as thin from p",
+    "thin_pages": f"with p as ({_PAGES}) select url, {_STRIPPED.format('text')} < 200 as thin from p",
     "all_pairs_containment": f"""with d as (select doc_id, unnest({_TRI}) as gram from (select doc_id, {_W.format('text')} as w from documents)),
       i as (select item_id, len(g)::int as of3, unnest(g) as gram from (select item_id, {_TRI} as g from (select item_id, {_W.format('text')} as w from eval_items)))
       select doc_id, item_id, of3, count(*) as in3 from d join i using (gram) group by all""",
 }
 QUERIES = {
     f.__name__: f
-    for f in (words_per_doc, distinct_ngrams, numbers_in_docs, quantities_in_docs, identifiers_in_docs, sentence_breaks, number_context_windows, claim_salience, previous_sentences, containment_scores, claim_tiers, tier_counts, blocking_reason, confusion_metrics, url_hosts, url_problems, link_status_counts, thin_pages, all_pairs_containment)
+    for f in (words_per_doc, distinct_ngrams, numbers_in_docs, quantities_in_docs, identifiers_in_docs, sentence_breaks, number_context_windows, claim_salience, previous_sentences, containment_scores, claim_tiers, source_branches, tier_counts, blocking_reason, confusion_metrics, url_hosts, url_problems, link_status_counts, thin_pages, all_pairs_containment)
 }
