@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators.urls import address_problem, host, is_private
-from tallymark.sources.html import decode_body, html_text
+from tallymark.sources.html import decode_body, html_text, kind_of
 
 SCHEMA = "url string, status int, text string, final_url string, content_type string, kind string, error string, blocked boolean, truncated boolean, transient boolean, retry_after double"
 PASSING = (408, 425, 429, 500, 502, 503, 504)
@@ -82,15 +82,6 @@ def retry_after(value: str | None) -> float | None:
         return None
 
 
-def _kind(mime: str, body: bytes) -> str:
-    head = body[:1024].lower()
-    if mime == "application/pdf" or body.startswith(b"%PDF-"):
-        return "pdf"
-    if mime in ("text/html", "application/xhtml+xml", "application/xml", "text/xml") or mime.endswith("+xml") or not mime and any(x in head for x in (b"<!doctype html", b"<html", b"<body")):
-        return "html"
-    return "text" if mime.startswith("text/") or "json" in mime or not mime and b"\0" not in body[:4096] else "binary"
-
-
 def fetch_once(url: str, policy: Policy) -> dict:
     """One attempt; never raises."""
     out = dict.fromkeys((c.split()[0] for c in SCHEMA.split(", ")), None) | {"url": url, "text": "", "final_url": "", "content_type": "", "kind": "", "error": "", "blocked": False, "truncated": False, "transient": False}
@@ -107,10 +98,10 @@ def fetch_once(url: str, policy: Policy) -> dict:
                 body = response.read(policy.max_bytes + 1)
             finally:
                 connection.close()
-            kind_of = response.getheader("Content-Type") or ""
-            kind = _kind(kind_of.partition(";")[0].strip().lower(), body)
-            text = "" if kind in ("pdf", "binary") else decode_body(body[: policy.max_bytes], kind_of)
-            return out | {"status": response.status, "final_url": at, "content_type": kind_of, "kind": kind, "text": html_text(text) if kind == "html" else " ".join(text.split()), "truncated": len(body) > policy.max_bytes, "transient": response.status in PASSING, "retry_after": retry_after(response.getheader("Retry-After"))}
+            declared = response.getheader("Content-Type") or ""
+            kind = kind_of(declared, body)
+            text = "" if kind in ("pdf", "binary") else decode_body(body[: policy.max_bytes], declared)
+            return out | {"status": response.status, "final_url": at, "content_type": declared, "kind": kind, "text": html_text(text) if kind == "html" else " ".join(text.split()), "truncated": len(body) > policy.max_bytes, "transient": response.status in PASSING, "retry_after": retry_after(response.getheader("Retry-After"))}
         return out | {"error": "too many redirects"}
     except Refused as e:
         return out | {"error": str(e), "blocked": True}

@@ -7,7 +7,7 @@ from tallymark.operators import urls
 from tallymark.operators.sources import check_sources
 from tallymark.sources import reports
 from tallymark.sources.claims import InvalidClaims, duplicate_ids, load_claims
-from tallymark.sources.html import decode_body, html_text, html_to_markdown, with_page_text
+from tallymark.sources.html import decode_body, drafts_of_pages, html_text, html_to_markdown, kind_of, page_kind, with_page_text
 
 LONG = "The harbour board approved the new ferry line on Monday after a long debate about cost. " * 4
 PAGES = "url string, status int, text string, final_url string, content_type string, kind string, error string, blocked boolean, truncated boolean"
@@ -83,6 +83,28 @@ def test_pages(spark):
     assert got == {"a": ("html", "x"), "b": ("pdf", ""), "c": ("html", "y"), "d": ("binary", ""), "e": ("text", "z z")}
 
 
+def test_json_ld_and_hidden_parts():
+    assert html_text('<script type="application/ld+json">{"k": "v", "n": {"z": ["a\\u00e9", 3, "b: c"]}}</script>') == "v aé b: c"
+    assert html_text('<script type="application/ld+json">{not json</script>x') == "{not json x"
+    md, _ = html_to_markdown("<div hidden><p>no</p></div><button>no</button><p style='display : none'>no</p><p>Mail <a href='mailto:a@b'>us</a> at <a href='/p'>port</a></p><table><tr><td>a<td>b</table>", "https://a.test/x")
+    assert "no" not in md and "Mail us at [port](https://a.test/p)" in md and "mailto" not in md
+    deep = html_to_markdown("<div>" * 5000 + "deep" + "</div>" * 5000)[0]
+    assert deep == "deep\n"
+
+
+def test_one_rule_of_kinds(spark):
+    cases = [("text/html", b"x"), ("application/atom+xml; charset=x", b""), ("application/ld+json", b"{}"), ("application/vnd.json-seq", b""), ("", b"  <HTML>"), ("", b"text <html> in the middle"), ("", b"pre <body>"), (None, b"a\x00b"), ("text/plain", b"%PDF-1"), ("image/png", b""), (None, None), ("TEXT/Plain", b"x")]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, t string, b binary")
+    got = [r.kind for r in df.select("k", page_kind(F.col("t"), F.col("b")).alias("kind")).orderBy("k").collect()]
+    assert got == [kind_of(t, b or b"") for t, b in cases] == ["html", "html", "text", "binary", "html", "text", "html", "binary", "pdf", "binary", "text", "text"]
+
+
+def test_pages_as_drafts(spark):
+    rows = [("https://a.test/posts/one?x=1", "text/html", b"<title>T</title><p>A <a href='/b'>b</a>"), ("https://a.test/", "text/html", b"<title>T</title>"), (None, None, b"# Pasted"), ("u", "application/pdf", b""), ("v", "text/plain", b"x" * 500_001), (None, None, None)]
+    got = [(r.document, r.text, r.problem is None) for r in drafts_of_pages(spark.createDataFrame(rows, "url string, content_type string, body binary")).collect()]
+    assert got == [("one", "A [b](https://a.test/b)\n", True), ("T", "\n", True), ("draft", "# Pasted", True), (None, None, False), (None, None, False), ("draft", "", True)]
+
+
 def test_reports(spark):
     rows = [(0, "a", "c<", "https://a.test", "verified", "", 1.0, 0.5, False, 3), (1, "b", "d", "javascript:x", "unsupported", "n", 0.0, 0.0, False, 1)]
     df = spark.createDataFrame(rows, "index int, id string, claim string, source_url string, tier string, note string, quoted double, topical double, offline_miss boolean, line int")
