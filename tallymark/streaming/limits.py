@@ -6,9 +6,14 @@ a watermark, so state of closed windows is dropped.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RATE_SECONDS, RATE_LIMIT, LEASE_SECONDS, SPACING_SECONDS, SKEW_SECONDS = 600, 10, 60, 1.0, 300
 
@@ -20,9 +25,13 @@ def slot(ts: Column, seconds: int) -> Column:
 
 def rate_limited(events: DataFrame, key: str, ts: str, event: str, limit: int = RATE_LIMIT, seconds: int = RATE_SECONDS) -> DataFrame:
     """Adds ``slot`` and ``allowed``: the first ``limit`` events of a key in a window; no key or no limit allows all."""
+    rows = events.withColumn("slot", slot(F.col(ts), seconds))
+    if limit <= 0:
+        return rows.withColumn("allowed", F.lit(True))
+    # Events without a key are many and not ranked: no task gets them all.
     w = W.partitionBy(key, "slot").orderBy(ts, event)
-    allowed = F.col(key).isNull() | F.lit(limit <= 0) | (F.row_number().over(w) <= limit)
-    return events.withColumn("slot", slot(F.col(ts), seconds)).withColumn("allowed", allowed)
+    ranked = rows.where(F.col(key).isNotNull()).withColumn("allowed", F.row_number().over(w) <= limit)
+    return ranked.unionByName(rows.where(F.col(key).isNull()).withColumn("allowed", F.lit(True)))
 
 
 def leases(events: DataFrame, key: str, ts: str, event: str, seconds: int = LEASE_SECONDS) -> DataFrame:
@@ -57,3 +66,68 @@ def window_counts(stream: DataFrame, key: str, ts: str, limit: int = RATE_LIMIT,
 def fresh(events: DataFrame, signed: str, received: str, seconds: int = SKEW_SECONDS) -> DataFrame:
     """Events whose two clocks differ by no more than the tolerance."""
     return events.where(F.abs(F.unix_timestamp(F.col(signed).cast("timestamp")) - F.unix_timestamp(F.col(received).cast("timestamp"))) <= seconds)
+
+
+def _by_key(stream: DataFrame, key: str, ts: str, event: str, late: str, out: str, step: Callable[[dict, pd.Series], tuple | None], keep: float) -> DataFrame:
+    """Events of a stream in the order of their times, each shown to ``step`` with its key's state, a small dict that it changes.
+
+    State is given up once the watermark is ``keep`` seconds past the key's newest event.
+    """
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values(["_ts", "_event"], kind="stable")
+        made = [x for _, row in rows.iterrows() if (x := step(held, row)) is not None]
+        state.update((json.dumps(held),))
+        newest = max(int(rows["_ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(newest + int(keep * 1000) + 1)
+        yield pd.DataFrame([(k[0], *x) for x in made], columns=["key", *[c.split()[0] for c in out.split(", ")]])
+
+    rows = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("_ts"), F.col(event).alias("_event")).where("key is not null")
+    kinds = dict(rows.dtypes)
+    return rows.withWatermark("_ts", late).groupBy("key").applyInPandasWithState(run, f"key {kinds['key']}, " + out.format(event=kinds["_event"]), "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rate_limited_stream(stream: DataFrame, key: str, ts: str, event: str, limit: int = RATE_LIMIT, seconds: int = RATE_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """Streaming twin of ``rate_limited``: (key, event, slot, allowed), decided as events come in."""
+
+    def step(held: dict, row: pd.Series) -> tuple:
+        at = int(row["_ts"].timestamp() // seconds)
+        for old in [x for x in held if int(x) < at - 1]:  # closed windows
+            del held[old]
+        n = held[str(at)] = held.get(str(at), 0) + 1
+        return row["_event"], at, limit <= 0 or n <= limit
+
+    return _by_key(stream, key, ts, event, late, "event {event}, slot long, allowed boolean", step, 2 * seconds)
+
+
+def leases_stream(stream: DataFrame, key: str, ts: str, event: str, seconds: int = LEASE_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """Streaming twin of ``leases``: (key, holder, slot), once per window, for the first event that comes in."""
+
+    def step(held: dict, row: pd.Series) -> tuple | None:
+        at = int(row["_ts"].timestamp() // seconds)
+        if at <= held.get("slot", -1):
+            return None
+        held["slot"] = at
+        return row["_event"], at
+
+    return _by_key(stream, key, ts, event, late, "holder {event}, slot long", step, 2 * seconds)
+
+
+def throttled_stream(stream: DataFrame, key: str, ts: str, event: str, delay: float = SPACING_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """Streaming twin of ``throttled``: (key, event, starts), each event's start no sooner than the last one's plus the delay."""
+
+    def step(held: dict, row: pd.Series) -> tuple:
+        starts = max(row["_ts"].timestamp(), held.get("free", 0.0))
+        held["free"] = starts + delay
+        return row["_event"], starts
+
+    return _by_key(stream, key, ts, event, late, "event {event}, starts double", step, 3600.0)
+
+
+def pending(jobs: DataFrame, done: DataFrame, by: tuple[str, ...] = ("job", "batch")) -> DataFrame:
+    """Batches of a job that have no result yet: what a run that was cut short goes on with. A batch done twice is done."""
+    return jobs.join(done.select(*by).distinct(), list(by), "left_anti")

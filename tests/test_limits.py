@@ -50,3 +50,34 @@ def test_runs(spark):
     assert [r.batch for r in runs.batches(spark.range(17).withColumnRenamed("id", "index")).orderBy("index").collect()][::8] == [0, 1, 2]
     ci = runs.bootstrap([(False, True)] * 10 + [(False, False)] * 5 + [(True, True)] * 5 + [(True, False)] * 9)
     assert ci["recall"][0] < 10 / 15 < ci["recall"][1]
+
+
+def streamed(spark, tmp_path, name, df, make):
+    """Rows of ``make`` over the events in three files, one micro-batch each, in the order of time."""
+    rows = sorted(df.collect(), key=lambda r: (r.ts, r.event))
+    folder = str(tmp_path / name)
+    for k in range(3):
+        part = rows[k * len(rows) // 3 : (k + 1) * len(rows) // 3]
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"{name}-state")).start()
+    q.awaitTermination()
+    return spark.table(name).collect()
+
+
+def test_streams_decide_like_their_batch_twins(spark, tmp_path):
+    df = events(spark, *[(c, 37 * i % 1500 + (i % 7) / 10) for i, c in enumerate("aabac" * 9)], (None, 3))
+    batch = {r.event: (r.slot, r.allowed) for r in limits.rate_limited(df, "client", "ts", "event", limit=3).where("client is not null").collect()}
+    assert {r.event: (r.slot, r.allowed) for r in streamed(spark, tmp_path, "limited", df, lambda s: limits.rate_limited_stream(s, "client", "ts", "event", limit=3))} == batch
+    held = {(r.key, r.slot, r.holder) for r in limits.leases(df, "client", "ts", "event").collect()}
+    assert {(r.key, r.slot, r.holder) for r in streamed(spark, tmp_path, "leased", df, lambda s: limits.leases_stream(s, "client", "ts", "event"))} == held
+    starts = {r.event: round(r.starts, 3) for r in limits.throttled(df, "client", "ts", "event", 30.0).where("client is not null").collect()}
+    assert {r.event: round(r.starts, 3) for r in streamed(spark, tmp_path, "spaced", df, lambda s: limits.throttled_stream(s, "client", "ts", "event", 30.0))} == starts
+
+
+def test_pending_batches_and_clocks(spark):
+    jobs = spark.createDataFrame([("j", 0), ("j", 1), ("k", 0)], "job string, batch int")
+    done = spark.createDataFrame([("j", 0, 1), ("j", 0, 2)], "job string, batch int, n int")
+    assert {tuple(r) for r in limits.pending(jobs, done).collect()} == {("j", 1), ("k", 0)}
+    clocks = spark.createDataFrame([(1, T0, T0 + timedelta(seconds=300)), (2, T0, T0 + timedelta(seconds=301)), (3, T0 + timedelta(seconds=299), T0), (4, None, T0)], "k int, a timestamp, b timestamp")
+    assert {r.k for r in limits.fresh(clocks, "a", "b").collect()} == {1, 3}
