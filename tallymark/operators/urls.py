@@ -6,6 +6,7 @@ import ipaddress
 import re
 import socket
 import urllib.parse
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,7 +24,7 @@ PRIVATE_V6 = "::/96 64:ff9b:1::/48 100::/64 2001::/23 2001:db8::/32 2002::/16 3f
 NAT64 = "64:ff9b::/96"
 LOCAL_ENDINGS = (".localhost", ".local", ".internal", ".home.arpa")
 
-_V4, _V6, _NAT = [ipaddress.ip_network(n) for n in PRIVATE_V4], [ipaddress.ip_network(n) for n in PRIVATE_V6], ipaddress.ip_network(NAT64)
+_V4, _V6, _NAT, _MAPPED = [ipaddress.ip_network(n) for n in PRIVATE_V4], [ipaddress.ip_network(n) for n in PRIVATE_V6], ipaddress.ip_network(NAT64), ipaddress.ip_network("::ffff:0:0/96")
 
 
 def scheme(url: Column) -> Column:
@@ -77,43 +78,65 @@ def link_status(url: Column, status: Column, final_url: Column, blocked: Column)
     )
 
 
+def _inner(ip: ipaddress.IPv4Address | ipaddress.IPv6Address) -> ipaddress.IPv4Address | ipaddress.IPv6Address:
+    """The IPv4 address that an IPv6 one stands for, else the address itself."""
+    embeds = ip.version == 6 and any(ip in n for n in (_MAPPED, _NAT))
+    return ipaddress.IPv4Address(ip.packed[-4:]) if embeds else ip
+
+
 def is_private(ip: ipaddress.IPv4Address | ipaddress.IPv6Address) -> bool:
     """Whether an address is not a public one; embedded IPv4 addresses are judged themselves."""
-    if ip.version == 6:
-        inner = ip.ipv4_mapped or (ipaddress.IPv4Address(int(ip) & 0xFFFFFFFF) if ip in _NAT else None)
-        return is_private(inner) if inner else any(ip in n for n in _V6)
-    return any(ip in n for n in _V4)
+    plain = _inner(ip)
+    return any(plain in n for n in {4: _V4, 6: _V6}[plain.version])
 
 
-def address_problem(url: str | None, allow_private: bool = False, allow_hosts: frozenset[str] = frozenset()) -> str | None:
-    """Why an address must not be fetched; None if it may be."""
+def _as_ip(name: str) -> ipaddress.IPv4Address | ipaddress.IPv6Address | None:
+    try:
+        return ipaddress.ip_address(name.partition("%")[0])
+    except ValueError:
+        return None
+
+
+def _as_number(name: str) -> bool:
+    """Whether a name is an IPv4 address in another notation: one number, hexadecimal parts, or fewer than four of them."""
+    if not re.fullmatch(r"[0-9a-fx.]*\d[0-9a-fx.]*", name):
+        return False
     try:
-        parts = urllib.parse.urlsplit(url or "")
+        socket.inet_aton(name)
+    except OSError:
+        return False
+    return True
+
+
+def _problems(url: str, exempt: Callable[[str], bool]) -> Iterator[str]:
+    """Everything that forbids an address, the gravest first."""
+    try:
+        parts = urllib.parse.urlsplit(url)
         port = parts.port
     except ValueError as e:
-        return f"malformed URL ({e})"
-    if parts.scheme.lower() not in ("http", "https"):
-        return f"URL scheme {parts.scheme.lower() + ':' if parts.scheme else '(none)'} is not allowed; only http and https are fetched"
-    name = (parts.hostname or "").rstrip(".")
-    if not name or port == 0:
-        return "URL has an invalid port" if name else "URL has no host"
-    if allow_private or name.lower() in allow_hosts:
-        return None
+        yield f"malformed URL ({e})"
+        return
+    scheme_, name = parts.scheme.lower(), (parts.hostname or "").rstrip(".")
+    if scheme_ not in ("http", "https"):
+        yield f"URL scheme {f'{scheme_}:' if scheme_ else '(none)'} is not allowed; only http and https are fetched"
+    if not name:
+        yield "URL has no host"
+    if port == 0:
+        yield "URL has an invalid port"
+    if exempt(name):
+        return
+    ip = _as_ip(name)
     if name == "localhost" or name.endswith(LOCAL_ENDINGS):
-        return f"host {name} is a local name"
-    try:
-        ip = ipaddress.ip_address(name.partition("%")[0])
-    except ValueError:
-        ip = None
-    if ip is not None:
-        return f"address {ip} is not a public address" if is_private(ip) else None
-    if re.fullmatch(r"[0-9a-fx.]*\d[0-9a-fx.]*", name):
-        try:
-            socket.inet_aton(name)
-            return f"host {name} is a non-canonical numeric address"
-        except OSError:
-            pass
-    return None
+        yield f"host {name} is a local name"
+    elif ip is not None and is_private(ip):
+        yield f"address {ip} is not a public address"
+    elif ip is None and _as_number(name):
+        yield f"host {name} is a non-canonical numeric address"
+
+
+def address_problem(url: str | None, allow_private: bool = False, allow_hosts: frozenset[str] = frozenset()) -> str | None:
+    """Why an address must not be fetched; None if it may be."""
+    return next(_problems(url or "", lambda name: allow_private or name.lower() in allow_hosts), None)
 
 
 @F.pandas_udf(StringType())

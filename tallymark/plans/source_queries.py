@@ -209,6 +209,10 @@ SQL = {
         when walled and (status in (403, 429) or status = 200 and length(trim(lower(coalesce(text, '')))) <= 200 and (lower(text) like '%{urls.CHALLENGES[0]}%' or lower(text) like '%{urls.CHALLENGES[1]}%')) then 'walled'
         when failed then 'failed' when unreadable then 'unreadable' else 'live' end as branch from k)
       select claim_key, branch, case branch when 'archive' then 'wayback' when 'live' then 'live' else 'none' end as checked_against, case when web then status end as http_status, web and not there as offline_miss from b""",
+    # Hosts that are addresses or local names are judged in Python alone; these tables hold none.
+    "url_problems": f"""with u as (select distinct source_url, {_SCHEME.format('source_url')} as scheme, {_HOST.format('source_url')} as host from claims)
+      select source_url, case when scheme not in ('http', 'https') then 'URL scheme ' || case when scheme = '' then '(none)' else scheme || ':' end || ' is not allowed; only http and https are fetched'
+        when host = '' then 'URL has no host' when host = 'localhost' or {' or '.join(f"ends_with(host, '{e}')" for e in urls.LOCAL_ENDINGS)} then 'host ' || host || ' is a local name' end as problem from u""",
     "link_status_counts": f"""with p as ({_PAGES}) select case when coalesce(blocked, false) then 'refused' when status is null then 'dead' when status in (401, 403, 429) then 'walled'
       when status >= 400 then 'dead' when final_url is not null and final_url <> '' and {_PLAIN.format('url')} <> {_PLAIN.format('final_url')} then 'redirected' else 'ok' end as link_status, count(*) as n from p group by 1""",
     "thin_pages": f"with p as ({_PAGES}) select url, {_STRIPPED.format('text')} < 200 as thin from p",

@@ -117,3 +117,20 @@ def test_reports(spark):
     entries = df.withColumn("entry", F.parse_json(F.lit('{"id": 7, "x": [1]}')))
     got = json.loads(reports.annotated(entries, "2025-01-01").orderBy("index").first().json)
     assert got == {"id": 7, "x": [1], "verification_tier": "verified", "verification_note": "", "verified_at": "2025-01-01"}
+
+
+def test_words_of_a_report(spark):
+    counts = dict.fromkeys(("unsupported", "broken", "low_match", "unverified", "snippet_only", "verified"), 0) | {"unsupported": 1, "low_match": 2, "unverified": 1}
+    told = reports.sentences(counts, offline_misses=1, strict=True)
+    assert told[0] == "4 claims checked: 1 not on page, 2 needs review, 1 unverified."
+    assert told[1].startswith("1 claim is not on the page") and told[2].startswith("2 claims share words with their page but are") and told[3].startswith("1 claim was never") and told[4] == "1 source had no stored copy." and len(told) == 5
+    assert reports.sentences({}) == ["0 claims checked: none."] and reports.plural(2, "entry", "entries") == "2 entries"
+    x = [0.03125, 0.00625, 0.5, 1.0, 0.0, 2 / 3, 0.00005, 0.12345]
+    got = [r.x for r in spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, x double").select("k", reports.exactly_rounded(F.col("x")).alias("x")).orderBy("k").collect()]
+    assert got == [round(v, 4) for v in x]
+    rows = [(0, "a", "c", "https://a.test", "verified", "", 1.0, 0.5, False, 3)]
+    df = spark.createDataFrame(rows, "index int, id string, claim string, source_url string, tier string, note string, quoted double, topical double, offline_miss boolean, line int")
+    head = json.loads(reports.header(df, checked_at="x"))
+    assert head["schema_version"] == 1 and head["summary"]["exit_code"] == 0 and head["options"] == {"strict": False, "offline": False, "wayback": True}
+    page_ = reports.certificate(df, "T", spark.createDataFrame([(9, "<u>", "navigational link")], "line int, source_url string, reason string"))
+    assert "Verified: 1" in page_ and "Not checked (1)" in page_ and "&lt;u&gt;" in page_
