@@ -12,6 +12,8 @@ from tallymark.operators.containment import MIN_PAGE_CHARS, claim_features, page
 UNREADABLE = ("pdf", "binary")
 #: Bytes that a fetch reads at most.
 MAX_BYTES = 5_000_000
+#: How the error of a page begins that this program failed on; its claims are unverified and the run goes on.
+INTERNAL = "internal_error"
 _PAGE = ["status", "content_type", "kind", "error", "blocked", "truncated"]
 _FEATURES = ["p_chars", "p_words", "p_bi", "p_tri", "p_numbers", "p_quantities", "p_windows"]
 
@@ -70,6 +72,7 @@ def check_sources(claims: DataFrame, pages: DataFrame, snapshots: DataFrame, use
     # In this order; the first that holds.
     branches = [
         ("invalid", F.col("_url").isNull(), "broken", F.lit("Invalid source_url"), "none"),
+        ("internal_error", F.coalesce(F.startswith("l_error", F.lit(INTERNAL)), F.lit(False)), "unverified", F.concat(F.lit("The source could not be processed ("), F.col("l_error"), F.lit("); check this claim by hand.")), "none"),
         ("blocked", F.coalesce("l_blocked", F.lit(False)), "broken", F.concat(F.lit("Source URL "), F.coalesce("l_error", F.lit(""))), "none"),
         ("offline", F.col("l_there").isNull(), "unverified", F.lit("Offline: no cached copy of this source. Run once online with --cache to record it."), "none"),
         ("archive", F.col("_archive"), F.col("tier"), F.concat(F.when(F.col("note") != "", F.concat("note", F.lit("; "))).otherwise(""), when), "wayback"),

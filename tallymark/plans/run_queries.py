@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.operators import runs
-from tallymark.operators.drafts import extract_pairs
+from tallymark.operators.drafts import draft_summary, extract_pairs, listing
 from tallymark.sources.cache import cache_key, cacheable
 from tallymark.sources.claims import duplicate_ids as _duplicates
 from tallymark.sources.tables import table
@@ -55,8 +55,24 @@ def cacheable_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cacheable(table(spark, sf_dir, "fetch_results", "fetch_id", "url", "blocked", "transient")).select("fetch_id", "url").distinct()
 
 
+def fresh_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetches that arrived within the tolerance of their own time."""
+    return limits.fresh(table(spark, sf_dir, "fetch_results", "fetch_id", "fetched_at", "ingested_at"), "fetched_at", "ingested_at").select("fetch_id").distinct()
+
+
+def draft_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each draft, by bucket."""
+    return draft_summary(draft_pairs(spark, sf_dir))
+
+
+def draft_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would be checked of each draft, one line for a link."""
+    return listing(draft_pairs(spark, sf_dir))
+
+
 def rate_limit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events", "event_id", "ts", "user_id")
+    # Two for each window: the table has too few events of a user in ten minutes to reach the usual ten.
     e = limits.rate_limited(e, "user_id", "ts", "event_id", limit=2)
     return e.select("event_id", F.col("slot"), "allowed")
 
@@ -82,9 +98,10 @@ SQL = {
     "claim_batches": "select (claim_key // 8)::int as batch, count(*) as n from claims group by 1",
     "cache_keys": "select distinct kind, url, sha256(kind || chr(10) || url) as cache_key from page_cache",
     "cacheable_fetches": "select distinct fetch_id, url from fetch_results where not coalesce(blocked, false) and not coalesce(transient, false)",
+    "fresh_fetches": "select distinct fetch_id from fetch_results where abs(floor(epoch(fetched_at)) - floor(epoch(ingested_at))) <= 300",
     "rate_limit_windows": "select event_id, floor(epoch(ts) / 600)::bigint as slot, user_id is null or row_number() over (partition by user_id, floor(epoch(ts) / 600) order by ts, event_id) <= 2 as allowed from events",
     "lease_first_wins": "select event_type as key, floor(epoch(ts) / 60)::bigint as slot, arg_min(event_id, (ts, event_id)) as holder from events where event_type is not null group by all",
     "throttle_slots": """with e as (select event_id, user_id, ts, epoch_us(ts) / 1e6 as t, row_number() over (partition by user_id order by ts, event_id) - 1 as i from events)
       select event_id, round((max(t - i * 30) over (partition by user_id order by ts, event_id) + i * 30) * 1000)::bigint as starts_ms from e""",
 }
-QUERIES = {f.__name__: f for f in (draft_pairs, draft_bucket_counts, draft_first_links, duplicate_ids, run_drift, claim_batches, cache_keys, cacheable_fetches, rate_limit_windows, lease_first_wins, throttle_slots)}
+QUERIES = {f.__name__: f for f in (draft_pairs, draft_bucket_counts, draft_first_links, duplicate_ids, run_drift, claim_batches, cache_keys, cacheable_fetches, fresh_fetches, draft_summaries, draft_listing, rate_limit_windows, lease_first_wins, throttle_slots)}

@@ -9,6 +9,7 @@ from tallymark.functions import text as T
 from tallymark.operators import containment as C
 from tallymark.operators import urls
 from tallymark.operators.sources import check_sources, newest
+from tallymark.sources.html import page_kind
 from tallymark.sources.tables import table
 
 
@@ -123,6 +124,29 @@ def thin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("url", (T.stripped_length(F.col("text")) < C.MIN_PAGE_CHARS).alias("thin"))
 
 
+def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind that each fetch's type and first bytes speak for."""
+    f = table(spark, sf_dir, "fetch_results", "fetch_id", "content_type", "text").distinct()
+    return f.select("fetch_id", page_kind(F.col("content_type"), F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kind"))
+
+
+def squashed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "claims", "claim_key", "claim").select("claim_key", T.squash(F.col("claim")).alias("claim"))
+
+
+def snapshot_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archived captures and the addresses under which their raw pages are read."""
+    url = F.col("data.extra")["snapshot_url"]
+    return table(spark, sf_dir, "page_cache", "cache_id", "kind", "data").where("kind = 'wayback'").where(url.isNotNull()).select("cache_id", urls.raw_snapshot(url).alias("raw_url")).distinct()
+
+
+def missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of each claim that its newest page lacks."""
+    c = table(spark, sf_dir, "claims", "claim_key", "claim", "source_url").select("claim_key", F.col("source_url").alias("url"), T.numbers(F.col("claim")).alias("c"))
+    p = pages(spark, sf_dir).select("url", T.numbers(F.col("text")).alias("p"))
+    return c.join(p, "url").select("claim_key", F.explode(F.array_except("c", "p")).alias("number"))
+
+
 def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags against the gold labels: a claim is flagged if its tier blocks."""
     t = claim_tiers(spark, sf_dir).where("on_page is not null").select("on_page", C.is_blocking(F.col("tier")).alias("flagged"))
@@ -213,6 +237,15 @@ SQL = {
     "url_problems": f"""with u as (select distinct source_url, {_SCHEME.format('source_url')} as scheme, {_HOST.format('source_url')} as host from claims)
       select source_url, case when scheme not in ('http', 'https') then 'URL scheme ' || case when scheme = '' then '(none)' else scheme || ':' end || ' is not allowed; only http and https are fetched'
         when host = '' then 'URL has no host' when host = 'localhost' or {' or '.join(f"ends_with(host, '{e}')" for e in urls.LOCAL_ENDINGS)} then 'host ' || host || ' is a local name' end as problem from u""",
+    "page_kinds": """with f as (select distinct fetch_id, content_type, text from fetch_results), m as (select fetch_id, coalesce(text, '') as body, lower(trim(regexp_extract(coalesce(content_type, ''), '^[^;]*'))) as mime from f)
+      select fetch_id, case when mime = 'application/pdf' or starts_with(body, '%PDF-') then 'pdf' when mime in ('text/html', 'application/xhtml+xml', 'application/xml', 'text/xml') or ends_with(mime, '+xml') then 'html'
+        when starts_with(mime, 'text/') or mime in ('application/json', 'application/ld+json') or ends_with(mime, '+json') then 'text' when mime <> '' then 'binary'
+        when regexp_matches(left(body, 1024), '(?is)^\\s*(?:<!doctype html|<html)|<body') then 'html' when contains(left(body, 4096), chr(0)) then 'binary' else 'text' end as kind from m""",
+    "squashed_claims": f"select claim_key, trim(regexp_replace(coalesce(claim, ''), '(?:{_WS}|[\\x1c-\\x1f])+', ' ', 'g')) as claim from claims",
+    "snapshot_addresses": "select distinct cache_id, regexp_replace(data.extra['snapshot_url'], '^(https?://[^/]+/web/\\d+)(?:[a-z]{2}_)?/', '\\1id_/') as raw_url from page_cache where kind = 'wayback' and data.extra['snapshot_url'] is not null",
+    "missing_numbers": f"""with p as ({_PAGES}), n as (select url, [{_NORM.format('x')} for x in regexp_extract_all(coalesce(text, ''), '{_DIGITS}')] as have from p),
+      c as (select claim_key, source_url as url, list_distinct([{_NORM.format('x')} for x in regexp_extract_all(coalesce(claim, ''), '{_DIGITS}')]) as want from claims)
+      select claim_key, unnest([x for x in want if not list_contains(have, x)]) as number from c join n using (url)""",
     "link_status_counts": f"""with p as ({_PAGES}) select case when coalesce(blocked, false) then 'refused' when status is null then 'dead' when status in (401, 403, 429) then 'walled'
       when status >= 400 then 'dead' when final_url is not null and final_url <> '' and {_PLAIN.format('url')} <> {_PLAIN.format('final_url')} then 'redirected' else 'ok' end as link_status, count(*) as n from p group by 1""",
     "thin_pages": f"with p as ({_PAGES}) select url, {_STRIPPED.format('text')} < 200 as thin from p",
@@ -222,5 +255,5 @@ SQL = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (words_per_doc, distinct_ngrams, numbers_in_docs, quantities_in_docs, identifiers_in_docs, sentence_breaks, number_context_windows, claim_salience, previous_sentences, containment_scores, claim_tiers, source_branches, tier_counts, blocking_reason, confusion_metrics, url_hosts, url_problems, link_status_counts, thin_pages, all_pairs_containment)
+    for f in (words_per_doc, distinct_ngrams, numbers_in_docs, quantities_in_docs, identifiers_in_docs, sentence_breaks, number_context_windows, claim_salience, previous_sentences, containment_scores, claim_tiers, source_branches, page_kinds, squashed_claims, snapshot_addresses, missing_numbers, tier_counts, blocking_reason, confusion_metrics, url_hosts, url_problems, link_status_counts, thin_pages, all_pairs_containment)
 }
