@@ -497,7 +497,10 @@ def _restored_once(text: str, hits: list) -> str:
         return _spans(made, left, pair) if left else made
     # Encodings of one byte share many sequences: the pair that leaves the fewest bad words and the commonest letters.
     tried = {h[4]: None for h in hits if not h[4].startswith(("utf-8", "?"))}
-    tried |= {f"{w}>{r}": None for w in (*CYRILLIC_WRITTEN, *(w for e, _ in OTHER_WRITTEN.values() for w in e)) for r in READ_AS if w != r}
+    # Readings that have the signs of some match.
+    matched = {text[h[0] : h[1]] for h in hits}
+    readings = [r for r in READ_AS if any(all(c.isascii() or c in _signs_of(r) for c in m) for m in matched)]
+    tried |= {f"{w}>{r}": None for w in (*CYRILLIC_WRITTEN, *(w for e, _ in OTHER_WRITTEN.values() for w in e)) for r in readings if w != r}
     best = min((_pieces(text, hits, *p.split(">")) for p in tried), key=_score)
     return best if best != text and _score(best) < _score(text) else _spans(text, hits, pair)
 
