@@ -59,7 +59,7 @@ NEAR_CHARS = 60
 #: Words after which a verb is not that of the reporting clause.
 SUBORDINATE = r"\b(?:because|that|which|when|while|after|before|although|though|if|until|since|but|had|has|have|weil|dass|nachdem|aber|hatte|parce que|qui|que|mais|porque|pero|mas|потому|что|который|но)\b"
 _TURN = re.compile(r"\s[—–](?=[^\W\d_])")
-_GAP = re.compile(r"\n[ \t\r⁠]*\n\s*")
+_GAP = re.compile(r"\n[ \t\r]*\n\s*")
 _END = regex.compile(r"(?:[.…．｡]|\p{Sentence_Break=STerm})+(?:[.…．｡⁠]|\p{Sentence_Break=STerm}|(?:[ ]?[»›](?![\w«]))|[\"'”’)\]）」』】〉》＂])*")
 _WIDE_END = frozenset("。！？｡．︒﹒")
 _BEFORE = re.compile(r"[^\s()\[\]{}\"“”«»„'’—–,;:/]+$")
