@@ -9,11 +9,11 @@ The running sums are made on two levels: per source and slice of the random orde
 whose number is bounded; no source is ordered in one task.
 
 Cases: documents without a source (null or blank) and sources without a target are not picked; null and empty texts
-have no tokens but take part; a source without documents can't fill its share; an empty table gives no picks; a null ``max_repeats``
-sets no cap.
+have no tokens but take part; a source without documents can't fill its share, whatever its cap; an empty table gives no picks; a null
+``max_repeats`` sets no cap; targets sent again count once.
 
-``p9_found`` asks only which sources fall short, so its rows come from the plan of expected copies that the sampling of ``p9_mix``
-starts from; nothing is drawn for it.
+``p9_found`` draws the mix and gives the sources that stay below their tokens in it although none of their documents may be used
+again. What the offset leaves out of a source that could give more is no shortfall.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source with a target: its documents, tokens, wanted tokens, cap and expected copies of each document."""
     of = with_source(counts).groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
     total = of.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
-    t = targets.where("source is not null").select("source", "target_share", "max_repeats")
+    t = targets.where("source is not null").select("source", "target_share", "max_repeats").distinct()
     wanted = F.col("target_share") * F.col("total")
     return (
         t.join(of, "source", "left")
@@ -88,9 +88,9 @@ def plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def pick(counts: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """(doc_id, source, n_tokens, copies) of the documents in the mix."""
-    rates = plan(counts, targets).where("rate > 0").select("source", "rate")
+def _drawn(counts: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, n_tokens, copies) of the documents in the mix, with the source's target."""
+    rates = planned.where("rate > 0").select("source", "target_share", "max_repeats", "rate")
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     rows = with_source(counts).withColumn("_at", order).withColumn("_slice", F.pmod(F.shiftright("_at", 40), F.lit(SLICES)))
     sizes = rows.groupBy("source", "_slice").agg(F.count("*").alias("_n"))
@@ -100,7 +100,24 @@ def pick(counts: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     offset = F.pmod(F.xxhash64(F.col("source"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     end = F.col("_before") + F.col("_rank")
     crossed = F.floor(end * F.col("rate") + offset) - F.floor((end - 1) * F.col("rate") + offset)
-    return ranked.join(rates, "source").select("doc_id", "source", "n_tokens", crossed.cast("int").alias("copies")).where("copies > 0")
+    return ranked.join(rates, "source").select("doc_id", "source", "n_tokens", crossed.cast("int").alias("copies"), "target_share", "max_repeats").where("copies > 0")
+
+
+def pick(counts: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
+    """(doc_id, source, n_tokens, copies) of the documents in the mix."""
+    return _drawn(counts, plan(counts, targets), seed).select("doc_id", "source", "n_tokens", "copies")
+
+
+def short_sources(counts: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
+    """(source) of the sources whose documents in the mix have too few tokens, with every one of them used ``max_repeats`` times.
+
+    Caps are whole numbers, so a capped source's documents are all drawn that often: its tokens in the mix are tokens x ``max_repeats``.
+    """
+    planned = plan(counts, targets)
+    got = _drawn(counts, planned, seed).groupBy("source", "target_share", F.col("max_repeats").alias("cap")).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("copies"))
+    rows = planned.join(got, [planned.source == got.source, planned.target_share == got.target_share, planned.max_repeats.eqNullSafe(got.cap)], "left")
+    used_up = (planned.n_tokens == 0) | (F.coalesce("copies", F.lit(0)) >= planned.n_documents * planned.max_repeats)
+    return rows.where(used_up & (F.coalesce("mixed_tokens", F.lit(0)) < planned.wanted_tokens)).select(planned.source)
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +125,7 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = plan(_counts(spark, sf_dir), table(spark, sf_dir, "source_targets"))
-    return p.where(F.col("n_tokens") * F.col("max_repeats") < F.col("wanted_tokens")).select("source")
+    return short_sources(cut(_counts(spark, sf_dir)), table(spark, sf_dir, "source_targets"))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

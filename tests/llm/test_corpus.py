@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tallymark.llm.leakage import Matcher, leaks, myers
-from tallymark.llm.mixing import n_tokens, pick, plan, token_counts
+from tallymark.llm.mixing import n_tokens, pick, plan, short_sources, token_counts
 from tallymark.llm.toxicity import fit_chain, fitted, scored
 
 R = random.Random(11)
@@ -124,6 +124,26 @@ def test_mix(spark, counts):
     assert pick(counts.limit(0), targets).count() == 0 and plan(counts.limit(0), targets).count() == 3 and pick(counts, targets.limit(0)).count() == 0
 
 
+def test_short_sources_of_the_drawn_mix(spark, counts):
+    r = random.Random(11)
+    rows = [(k, f"s{k % 40}", r.randrange(1, 200)) for k in range(2000)] + [(5000, "blank", 0), (5001, "blank", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    total, own = sum(n for *_, n in rows), {}
+    for _, s, n in rows:
+        own[s] = own.get(s, 0) + n
+    # Shares close to what the cap allows, on both sides of it and at it.
+    targets = [(f"s{k}", own[f"s{k}"] * (1 + k % 5) * (0.5, 0.995, 1.0, 1.005, 1.5, 0.999999, 1.000001)[k % 7] / total, 1 + k % 5) for k in range(40)]
+    want = {s for s, share, cap in targets if own[s] * cap < share * total} | {"blank", "absent", "uncapped and absent"}
+    targets += [("blank", 0.1, 2), ("absent", 0.1, 1), ("uncapped and absent", 0.1, None), ("nothing wanted", 0.0, 1), ("s3", *targets[3][1:])]
+    t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
+    for seed in (7, 8):
+        got = [x.source for x in short_sources(df, t, seed).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert "Window" in short_sources(df, t)._jdf.queryExecution().toString()  # the sums of the drawing
+    free = spark.createDataFrame([("big", 2.5, None), ("small", 0.0, 0)], t.schema)
+    assert short_sources(counts, free).count() == 0 and pick(counts, free.union(free)).where("source = 'big'").count() == 2000
+
+
 def test_tokens(spark):
     assert n_tokens(None) == n_tokens("") == 0 and n_tokens("a b c") >= 3 and n_tokens("<|endoftext|>") > 1
     df = spark.createDataFrame([(1, "s", "hello there"), (2, None, None), (3, "s", "x " * 100_000)], "doc_id bigint, source string, text string")
